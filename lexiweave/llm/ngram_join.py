@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, materialize, text_slices
@@ -91,9 +91,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
         s = _mix(s * _BASE + h[k + i])
     owner = row[k]
     for r in np.flatnonzero((n_words > 0) & (n_words < width)):
-        x = np.uint64(n_words[r])
+        x = n_words[r : r + 1].astype(np.uint64)
         for y in h[row == r]:
-            x = _mix(np.array([x * _BASE + y]))[0]
+            x = _mix(x * _BASE + y)
         s, owner = np.append(s, x), np.append(owner, r)
     o = np.lexsort((s, owner))
     s, owner = s[o], owner[o]
@@ -178,23 +178,26 @@ def _postings(docs: DataFrame, frequent, percent: int) -> DataFrame:
     """(hash, sig, np) of the prefix shingles of each class; np: size times 2^32 plus position."""
     schema = pa.schema([("hash", pa.int64()), ("sig", pa.int64()), ("np", pa.int64())])
 
-    def run(batch):
-        often = frequent.value
-        for _, _, s, at in _column(batch):
-            sig, done = _signature(s, at), set()
-            hs, gs, ps = [], [], []
-            for i, j, g in zip(at[:-1], at[1:], sig.tolist(), strict=True):
-                n = int(j - i)
-                if n and g not in done:
-                    done.add(g)
-                    k = _prefix(n, percent)
-                    hs.append(_ordered(s[i:j], often)[:k])
-                    gs.append(np.full(k, g))
-                    ps.append(np.arange(k) + (n << 32))
-            if hs:
-                yield {"hash": np.concatenate(hs).view(np.int64), "sig": np.concatenate(gs), "np": np.concatenate(ps)}
-
-    return _documents(docs).mapInArrow(batches(run, schema), "hash long, sig long, np long")
+    def run(it):
+        often, done = frequent.value, set()
+
+        def each(batch):
+            for _, _, s, at in _column(batch):
+                hs, gs, ps = [], [], []
+                for i, j, g in zip(at[:-1], at[1:], _signature(s, at).tolist(), strict=True):
+                    n = int(j - i)
+                    if n and g not in done:
+                        done.add(g)
+                        k = _prefix(n, percent)
+                        hs.append(_ordered(s[i:j], often)[:k])
+                        gs.append(np.full(k, g))
+                        ps.append(np.arange(k) + (n << 32))
+                if hs:
+                    yield {"hash": np.concatenate(hs).view(np.int64), "sig": np.concatenate(gs), "np": np.concatenate(ps)}
+
+        yield from batches(each, schema)(it)
+
+    return _documents(docs).mapInArrow(run, "hash long, sig long, np long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -324,9 +327,8 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     classes = materialize(_classes(docs))
     frequent = spark.sparkContext.broadcast(_frequent(docs, percent))
-    every = _postings(docs, frequent, percent).groupBy("hash", "sig").agg(F.min("np").alias("np"))
-    lists = every.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
-    shared = materialize(every.join(lists, "hash"))
+    every = _postings(docs, frequent, percent).repartition("hash").dropDuplicates(["hash", "sig"])
+    shared = materialize(every.withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1"))
     size, pos = F.shiftright("np", 32), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF))
     flat = shared.select("hash", "sig", "df", size.alias("n"), pos.alias("pos"))
     a, b = (flat.where(F.col("df") <= DENSE).select("hash", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos"))) for x in "ab")

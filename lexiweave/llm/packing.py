@@ -59,7 +59,7 @@ class Encoder:
         special = {t["content"] for t in stored["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.uneven = re.compile(r"(?<!\S) | (?!\S)").search
+        self.other_space = re.compile(r"[^\S \n]").search
         self.memo: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -68,7 +68,7 @@ class Encoder:
     def __call__(self, batch: list[str]) -> list[bytes]:
         out, memo, ids = [], self.memo, self.ids
         for text in batch:
-            if self.uneven(text):
+            if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or self.other_space(text):
                 out.append(ids(text))
                 continue
             first, *words = text.split(" ")
@@ -110,33 +110,44 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def price(dual: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best unbounded knapsack of class sizes 1..capacity with the dual values as profits."""
+def price(dual: np.ndarray, capacity: int, most: int = 40) -> list[np.ndarray]:
+    """Patterns of the largest values, best first: for each first item, the best unbounded knapsack of the rest.
+
+    dual[s - 1] is the profit of an item of size s.
+    """
     best = np.zeros(capacity + 1)
     take = np.zeros(capacity + 1, np.int64)
     for w in range(1, capacity + 1):
-        v = dual[:w] + best[w - 1 :: -1][:w]  # size s+1 leaves w-s-1
-        s = int(np.argmax(v))
+        v = dual[:w] + best[w - 1 :: -1][:w]  # size s + 1 leaves w - s - 1
+        s = int(v.argmax())
         if v[s] > best[w - 1] + 1e-12:
             best[w], take[w] = v[s], s + 1
         else:
             best[w] = best[w - 1]
-    pattern, w = np.zeros(capacity, np.int64), capacity
-    while w > 0:
-        if take[w]:
-            pattern[take[w] - 1] += 1
-            w -= take[w]
-        else:
-            w -= 1
-    return float(best[capacity]), pattern
-
-
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 4000, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+    values = np.where(dual > 0, dual + best[capacity - 1 :: -1], 0.0)
+    patterns = []
+    for s in np.argsort(-values, kind="stable")[:most]:
+        if values[s] <= 0:
+            break
+        pattern, w = np.zeros(capacity, np.int64), capacity - int(s) - 1
+        pattern[s] += 1
+        while w > 0:
+            if take[w]:
+                pattern[take[w] - 1] += 1
+                w -= take[w]
+            else:
+                w -= 1
+        patterns.append(pattern)
+    return patterns
+
+
+def column_generation(demand: np.ndarray, capacity: int, rounds: int = 400, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and their LP multiplicities covering demand[s-1] items of each size s.
 
-    A revised simplex keeps the inverse of the basis; columns are priced by the knapsack.
-    It stops when no pattern improves by more than `gap`, so the LP value is within that
-    share of the optimum.
+    A revised simplex keeps the inverse of the basis; each knapsack prices a few dozen
+    columns, which enter while they improve. It stops when no pattern improves by more
+    than `gap`, or all room but that share is used, so the LP value is within that share
+    of the optimum.
     """
     sizes = np.flatnonzero(demand) + 1
     m = len(sizes)
@@ -145,30 +156,34 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 4000, gap
     basis = [np.eye(m, dtype=np.int64)[i] * (capacity // s) for i, s in enumerate(sizes)]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
     x = inverse @ demand[sizes - 1].astype(float)
-    for step in range(rounds):
-        dual = inverse.sum(0)
-        full = np.zeros(capacity)
-        full[sizes - 1] = np.maximum(dual, 0)
-        value, pattern = price(full, capacity)
-        if value <= 1 + gap:
+    floor = float((demand[sizes - 1] * sizes).sum()) / capacity
+    for _ in range(rounds):
+        if x.sum() <= floor * (1 + gap):
             break
-        column = pattern[sizes - 1]
-        d = inverse @ column
-        ratio = np.where(d > 1e-11, x / np.where(d > 1e-11, d, 1), np.inf)
-        out = int(np.argmin(ratio))
-        theta = ratio[out]
-        if not np.isfinite(theta):
+        full = np.zeros(capacity)
+        full[sizes - 1] = np.maximum(inverse.sum(0), 0)
+        pool = np.array(price(full, capacity)).reshape(-1, capacity)[:, sizes - 1]
+        entered = 0
+        while len(pool) and entered < len(pool):
+            values = pool @ inverse.sum(0)
+            k = int(values.argmax())
+            if values[k] <= 1 + gap:
+                break
+            entered += 1
+            column = pool[k]
+            d = inverse @ column
+            ratio = np.where(d > 1e-11, x / np.where(d > 1e-11, d, 1), np.inf)
+            out = int(ratio.argmin())
+            theta = ratio[out]
+            x -= theta * d
+            x[out] = theta
+            np.maximum(x, 0, out=x)
+            row = inverse[out] / d[out]
+            inverse -= np.outer(d, row)
+            inverse[out] = row
+            basis[out] = column
+        if not entered:
             break
-        x -= theta * d
-        x[out] = theta
-        np.maximum(x, 0, out=x)
-        row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
-        inverse[out] = row
-        basis[out] = column
-        if step % 200 == 199:
-            inverse = np.linalg.inv(np.array(basis, float).T)
-            x = np.maximum(inverse @ demand[sizes - 1], 0)
     found = []
     for column, count in zip(basis, x, strict=True):
         pattern = np.zeros(capacity, np.int64)
