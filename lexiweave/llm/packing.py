@@ -157,19 +157,13 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 400, gap:
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
     x = inverse @ demand[sizes - 1].astype(float)
     floor = float((demand[sizes - 1] * sizes).sum()) / capacity
+    pool = np.array([pattern for pattern, _ in first_fit(demand, capacity)])[:, sizes - 1]  # a start near the optimum
     for _ in range(rounds):
-        if x.sum() <= floor * (1 + gap):
-            break
-        full = np.zeros(capacity)
-        full[sizes - 1] = np.maximum(inverse.sum(0), 0)
-        pool = np.array(price(full, capacity)).reshape(-1, capacity)[:, sizes - 1]
-        entered = 0
-        while len(pool) and entered < len(pool):
+        for _ in range(20 * m):
             values = pool @ inverse.sum(0)
             k = int(values.argmax())
-            if values[k] <= 1 + gap:
+            if values[k] <= 1 + gap or x.sum() <= floor * (1 + gap):
                 break
-            entered += 1
             column = pool[k]
             d = inverse @ column
             ratio = np.where(d > 1e-11, x / np.where(d > 1e-11, d, 1), np.inf)
@@ -182,8 +176,13 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 400, gap:
             inverse -= np.outer(d, row)
             inverse[out] = row
             basis[out] = column
-        if not entered:
+        full = np.zeros(capacity)
+        full[sizes - 1] = np.maximum(inverse.sum(0), 0)
+        new = np.array(price(full, capacity)).reshape(-1, capacity)[:, sizes - 1]
+        new = new[new @ inverse.sum(0) > 1 + gap]
+        if not len(new) or x.sum() <= floor * (1 + gap):
             break
+        pool = np.concatenate((new, pool))[:6000]
     found = []
     for column, count in zip(basis, x, strict=True):
         pattern = np.zeros(capacity, np.int64)
@@ -204,19 +203,22 @@ def plan(demand: np.ndarray, capacity: int = CLASSES) -> list[tuple[np.ndarray,
         if n > 0:
             done.append((pattern, n))
             left -= n * pattern
-    bins: list[tuple[int, np.ndarray]] = []  # what rounding leaves: first fit, falling sizes
+    return done + first_fit(left, capacity)
+
+
+def first_fit(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns that hold exactly the demanded items, each filled with falling sizes."""
+    left, out = demand.astype(np.int64).copy(), []
     while left.any():
         room, pattern = capacity, np.zeros(capacity, np.int64)
-        for s in range(capacity, 0, -1):
-            if s <= room and left[s - 1]:
-                k = min(int(left[s - 1]), room // s)
-                pattern[s - 1] += k
-                left[s - 1] -= k
-                room -= k * s
-        n = max(1, int((left[pattern > 0] // pattern[pattern > 0]).min()) + 1)
-        left -= (n - 1) * pattern
-        bins.append((n, pattern))
-    return done + [(p, n) for n, p in bins]
+        while room and (fits := np.flatnonzero(left[:room] > pattern[:room])).size:
+            s = int(fits[-1])
+            pattern[s] += min(int(left[s] - pattern[s]), room // (s + 1))
+            room -= (s + 1) * int(pattern[s])
+        n = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        left -= n * pattern
+        out.append((pattern, n))
+    return out
 
 
 def slots(planned: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
