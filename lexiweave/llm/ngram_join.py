@@ -213,7 +213,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     if got.num_rows:
         bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     bc = spark.sparkContext.broadcast(np.packbits(np.unpackbits(bits.view(np.uint8))))
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("set", pa.list_(pa.int64()))])
+    schema = pa.schema([("sig", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batch):
         words = bc.value.view(np.uint64)
@@ -222,22 +222,42 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         if may.any():
             batch = batch.filter(pa.array(may))
             for a, b, s, off in _column(batch):
-                yield {"doc_id": batch.column(0).slice(a, b - a), "sig": _signature(s, off), "set": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(s.view(np.int64)))}
+                yield {"sig": _signature(s, off), "set": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(s.view(np.int64)))}
 
-    found = _documents(docs).withColumn("at", place).mapInArrow(batches(run, schema), "doc_id long, sig long, set array<long>")
-    return found.join(ids, ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"]).select("sig", "set")
+    found = _documents(docs).withColumn("at", place).mapInArrow(batches(run, schema), "sig long, set array<long>")
+    return found.select("sig", "set")  # a copy or two more do no harm
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by fragment of the order, summed per pair."""
-    top = 64 - FRAGMENTS.bit_length() + 1
-    cut = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.filter("set", lambda h: F.shiftrightunsigned(h, top) == f))
-    parts = sets.select("sig", F.size("set").alias("n"), cut.alias("parts"))
-    a, b = (parts.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab")
-    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
-    overlap = F.aggregate(partial, F.lit(0), lambda s, x: s + x)
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", overlap.alias("o"))
-    return both.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
+    """The pairs (a, b) that link: partial overlaps by fragment of the order, summed per pair.
+
+    Pairs of one component of candidates are counted together, so a set is sent once for
+    all its pairs; components of more than BLOCK classes are cut into blocks of pairs.
+    """
+    roots = components(pairs)
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    at = roots.join(sizes, "root").select(F.col("node").alias("a"), "root", "k")
+    groups = max(1, roots.count() // 256)
+    g = F.when(F.col("k") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.col("root"))
+    keyed = materialize(pairs.join(at, "a").select(g.alias("g"), F.pmod(F.xxhash64("a"), "k").alias("i"), F.pmod(F.xxhash64("b"), "k").alias("j"), "a", "b"))
+    needs = keyed.select("g", "i", "j", F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+    def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {g: x.values.to_numpy().view(np.uint64) for g, x in zip(right["sig"].to_pylist(), right["set"], strict=True)}
+        shift = np.uint64(64 - (FRAGMENTS.bit_length() - 1))
+        out_a, out_b = [], []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
+            x, y = held[a], held[b]
+            met = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
+            partial = np.bincount((met >> shift).astype(np.int64), minlength=FRAGMENTS)
+            overlap = int(partial.sum())
+            if 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                out_a.append(a)
+                out_b.append(b)
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    rows = needs.join(sets, "sig").toDF("sig", "g2", "i2", "j2", "set")
+    return keyed.groupBy("g", "i", "j").cogroup(rows.groupBy("g2", "i2", "j2")).applyInArrow(count, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,6 +278,7 @@ def components(links: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of groups (g, sig): each member with the hub, then the unsettled with all, in blocks."""
     rows = materialize(members.join(sets, "sig").select("g", "sig", "set", "shared"))
+    rows = rows.dropDuplicates(["g", "sig"])
     hub = rows.groupBy("g").agg(F.max(F.struct("shared", F.size("set").alias("n"), "sig")).alias("h")).select("g", F.col("h.sig").alias("hub"))
     hubs = hub.join(rows, [hub.g == rows.g, hub.hub == rows.sig]).select(hub.g, "hub", F.col("set").alias("hub_set"))
     o = F.size(F.array_intersect("set", "hub_set"))
@@ -272,7 +293,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     others = split.select("g", "sig", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("p"), F.col("mb").alias("m"), F.lit(False).alias("probe"), "linked")
     work = probes.union(others).join(rows.select("g", "sig", "set"), ["g", "sig"])
 
-    def compare(key, table):
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
         t = {k: table.column(k) for k in ("sig", "set", "probe", "linked")}
         mine = t["probe"].to_numpy(zero_copy_only=False).astype(bool)
         sig = t["sig"].to_numpy()
