@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import batches, materialize, text_slices
 
 DEPTH = 6
-LEAVES = 1 << 16
+LEAVES = 1 << 15
 KNOWN = 1 << 20
 END = 255
 
@@ -164,7 +164,7 @@ class Model:
         nodes = 1 << level
 
         def bits(m):
-            s = m.reshape(len(m), nodes, 2, -1).sum(3)
+            s = m.reshape(len(m), nodes, 2, 128 // nodes).sum(3)
             return s[:, :, 0].astype(float), s[:, :, 1].astype(float)
 
         ab = [bits(m) for m in counts]
@@ -194,7 +194,7 @@ class Model:
 
     @staticmethod
     def _add(table: np.ndarray, one: np.ndarray, nodes: int) -> None:
-        view = table.reshape(len(table), nodes, 2, -1)
+        view = table.reshape(len(table), nodes, 2, 128 // nodes)
         view[:, :, 0] += np.log10(1 - one)[:, :, None]
         view[:, :, 1] += np.log10(one)[:, :, None]
 

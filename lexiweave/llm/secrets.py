@@ -8,9 +8,10 @@ the middle symbol, and lag-one serial correlation. Their squares add up to the
 candidate's distance from randomness.
 
 Which distances count as a discovery depends on length. Candidates without a digit, or
-with nothing else, are natural strings: their distances, by length class, are the null
-distribution. A candidate's p-value is the share of natural strings of its class that
-are as close to random; Benjamini-Hochberg over all candidates of the corpus holds the
+with nothing else, are natural strings: their distances are the null distribution. A
+candidate's p-value is the share of the natural strings of its length class and the
+shorter ones that are as close to random (longer natural strings lie farther off, so
+shorter ones err on the safe side); Benjamini-Hochberg over all candidates of the corpus holds the
 false discovery rate under FDR. Both come from histograms of fixed size, so only
 LENGTHS x BUCKETS counts reach the driver.
 
@@ -156,7 +157,7 @@ def discoveries(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
             tested[r["size"], r["bucket"]] = r["n"]
     p = {}
     for size, bucket in tested:
-        counts = null.get(size, [])
+        counts = [sum(c[b] for k, c in null.items() if k <= size) for b in range(BUCKETS)]
         p[size, bucket] = (1 + sum(counts[: bucket + 1])) / (1 + sum(counts))
     total, below, limit = sum(tested.values()), 0, 0.0
     for value in sorted(set(p.values())):
