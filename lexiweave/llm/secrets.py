@@ -125,7 +125,8 @@ def distance(s: Column) -> Column:
             spread = (mu - 1) * (mu - 2) / (n - 1)
             z_runs = F.when(spread > 0, (w["runs"] - mu) / F.sqrt(spread)).otherwise(F.sqrt(n))
             z_lag = F.when(w["var"] > 0, (w["lag"] / w["var"] + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-            return z_chi * z_chi + z_runs * z_runs + z_lag * z_lag
+            uneven = F.greatest(z_chi, F.lit(0.0))  # symbols more even than chance do not speak for natural text
+            return uneven * uneven + z_runs * z_runs + z_lag * z_lag
 
         return _let(_let(values, walk), combine)
 
