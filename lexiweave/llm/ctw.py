@@ -92,19 +92,27 @@ def count_windows(docs: DataFrame, depth: int) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _kept(windows: DataFrame, depth: int, leaves: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
-    """By depth: sorted (context, next byte, count) of the kept contexts. windows: a written table."""
+def _kept(windows: DataFrame, depth: int, leaves: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By depth: sorted (context, next byte, count) of the kept contexts. windows: a written table.
+
+    Each depth's counts are summed from those of the next longer one. At most `leaves`
+    contexts a depth reach the driver, and then their counts.
+    """
+    spark = windows.sparkSession
     total = windows.agg(F.sum("n")).first()[0] or 0
-    out = []
-    for d in range(depth + 1):
-        low = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        rows = windows.select(F.shiftright(low, 8).alias("context"), low.bitwiseAND(F.lit(255)).alias("byte"), "n").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        kept = rows.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("byte", "n")).alias("next")).where(F.col("total") * leaves >= total)
-        t = kept.select("context", F.inline("next")).toArrow()
-        c, b, n = (t[x].to_numpy().astype(np.int64) if t.num_rows else np.zeros(0, np.int64) for x in ("context", "byte", "n"))
-        o = np.lexsort((b, c))
-        out.append((c[o], b[o], n[o]))
-    return out, total
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = windows
+    for d in range(depth, -1, -1):
+        if d < depth:
+            low = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
+            rows = materialize(rows.groupBy(low.alias("key")).agg(F.sum("n").alias("n")))
+        context = F.shiftright("key", 8)
+        often = rows.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).where(F.col("total") * leaves >= total).select("context").toArrow()
+        t = rows.withColumn("context", context).join(F.broadcast(spark.createDataFrame(often)), "context", "left_semi").select("key", "n").toArrow() if often.num_rows else None
+        key, n = (t[x].to_numpy().astype(np.int64) if t is not None else np.zeros(0, np.int64) for x in ("key", "n"))
+        o = np.argsort(key)
+        out.insert(0, (key[o] >> 8, key[o] & 255, n[o]))
+    return out
 
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,7 +238,7 @@ class Model:
 
 def train(docs: DataFrame, depth: int = DEPTH, leaves: int = LEAVES) -> Model:
     windows = materialize(count_windows(docs, depth))
-    return Model(_kept(windows, depth, leaves)[0])
+    return Model(_kept(windows, depth, leaves))
 
 
 def tokens(text: str | None) -> list[bytes]:
