@@ -74,4 +74,29 @@ QUERIES = {
     f.__name__: f
     for f in (op1_context_tree_weighting, op2_sentencepiece, op3_media_columns, op4_packing, op5_ngram_jaccard_join, op6_toxicity, op7_secret_scans, op8_license_scans, op9_language_id, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {}
+#: op5 by pairs of documents that share a shingle, as strings; components by reachability.
+NGRAM_JACCARD = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), link AS MATERIALIZED (
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edge AS MATERIALIZED (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(node, root) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node
+)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(reach.root), w.doc_id)::BIGINT AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.node = w.doc_id
+GROUP BY w.doc_id
+"""
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": NGRAM_JACCARD}
