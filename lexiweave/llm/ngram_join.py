@@ -7,7 +7,9 @@ pass saw twice or more within a partition ("frequent") come last, the rest by ha
 
 1. Documents with equal sets are one class, named by a 64-bit signature.
 2. Two sets with Jaccard >= t share a shingle in the first (1 - t) |x| + 1 of each, so the
-   classes meet on their prefix shingles, with filters on sizes and positions.
+   classes meet on their prefix shingles. Up to the end of the prefix that ends first all
+   common shingles are then known, and the rest of that set bounds those to come: pairs
+   that cannot reach the overlap go before any set is read.
 3. Candidates on lists of at most DENSE classes are paired. The order is cut into FRAGMENTS
    ranges; each pair's partial overlap is counted in every fragment apart and summed.
 4. Longer lists (large groups of near copies) are joined into groups, and each group has a
@@ -116,12 +118,13 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order."""
+    """A sorted set's places in the global order, ascending: 63 bits of the hash, above them whether it is frequent."""
+    keys = s >> np.uint64(1)
     if not len(frequent):
-        return s
+        return keys
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
     often = frequent[at] == s
-    return np.concatenate((s[~often], s[often])) if often.any() else s
+    return np.concatenate((keys[~often], keys[often] | np.uint64(1 << 63))) if often.any() else keys
 
 
 def _column(batch: pa.RecordBatch):
@@ -164,7 +167,7 @@ def _frequent(docs: DataFrame, percent: int) -> np.ndarray:
                 if parts:
                     kept.append(np.concatenate(parts))
                     held += len(kept[-1])
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield out()
                     kept, held = [], 0
         if kept:
@@ -175,8 +178,8 @@ def _frequent(docs: DataFrame, percent: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """(hash, sig, np) of the prefix shingles of each class; np: size times 2^32 plus position."""
-    schema = pa.schema([("hash", pa.int64()), ("sig", pa.int64()), ("np", pa.int64())])
+    """(hash, sig, nl) of the prefix shingles of each class; nl: size times 2^32 plus the upper half of the prefix's last place."""
+    schema = pa.schema([("hash", pa.int64()), ("sig", pa.int64()), ("nl", pa.int64())])
 
     def run(it):
         often, done = frequent.value, set()
@@ -189,15 +192,16 @@ def _postings(docs: DataFrame, frequent, percent: int) -> DataFrame:
                     if n and g not in done:
                         done.add(g)
                         k = _prefix(n, percent)
-                        hs.append(_ordered(s[i:j], often)[:k])
+                        prefix = _ordered(s[i:j], often)[:k]
+                        hs.append(prefix)
                         gs.append(np.full(k, g))
-                        ps.append(np.arange(k) + (n << 32))
+                        ps.append(np.full(k, (n << 32) + (int(prefix[-1]) >> 32)))
                 if hs:
-                    yield {"hash": np.concatenate(hs).view(np.int64), "sig": np.concatenate(gs), "np": np.concatenate(ps)}
+                    yield {"hash": np.concatenate(hs).view(np.int64), "sig": np.concatenate(gs), "nl": np.concatenate(ps)}
 
         yield from batches(each, schema)(it)
 
-    return _documents(docs).mapInArrow(run, "hash long, sig long, np long")
+    return _documents(docs).mapInArrow(run, "hash long, sig long, nl long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -350,12 +354,15 @@ def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, percent))
     every = _postings(docs, frequent, percent).repartition("hash").dropDuplicates(["hash", "sig"])
     shared = materialize(every.withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1"))
-    size, pos = F.shiftright("np", 32), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF))
-    flat = shared.select("hash", "sig", "df", size.alias("n"), pos.alias("pos"))
-    a, b = (flat.where(F.col("df") <= DENSE).select("hash", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "pos"))) for x in "ab")
-    most = 1 + F.least(F.col("na") - F.col("posa") - 1, F.col("nb") - F.col("posb") - 1)
-    fits = (F.col("siga") < F.col("sigb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    pairs = materialize(a.join(b, "hash").where(fits).select(F.col("siga").alias("a"), F.col("sigb").alias("b")).distinct())
+    size, last = F.shiftright("nl", 32), F.col("nl").bitwiseAND(F.lit(0xFFFFFFFF))
+    flat = shared.select("hash", "sig", "df", size.alias("n"), last.alias("last"))
+    a, b = (flat.where(F.col("df") <= DENSE).select("hash", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "last"))) for x in "ab")
+    fits = (F.col("siga") < F.col("sigb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    met = a.join(b, "hash").where(fits).groupBy("siga", "sigb", "na", "nb", "lasta", "lastb").agg(F.count("*").alias("c"))
+    # a pair that shares a longer list too has more in common than c, but it is compared in that list's group
+    rest_a, rest_b = (F.expr(f"(n{n[1]} * {percent} + 99) div 100 - 1") for n in ("na", "nb"))
+    rest = F.when(F.col("lasta") < F.col("lastb"), rest_a).when(F.col("lasta") > F.col("lastb"), rest_b).otherwise(F.greatest(rest_a, rest_b))
+    pairs = materialize(met.where((F.col("c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("siga").alias("a"), F.col("sigb").alias("b")))
     long = flat.where(F.col("df") > DENSE)
     grouped = None
     if not long.isEmpty():
