@@ -178,12 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column, sample: int = S
 
         def each(batch):
             cols: list[list] = [[], [], [], [], []]
+            bins = np.zeros(len(edges) - 1, np.int64)  # of the whole batch, sent with its first row
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = odds.scores(text.lower().split(), (1, 0) if label else (0, 1))
                 segs = sorted((x for _, _, x in maximal_segments(s)), reverse=True)[:64]
-                bins = np.histogram(np.clip(s, edges[0], edges[-1]), edges)[0] if not label else np.zeros(len(edges) - 1, np.int64)
-                for c, v in zip(cols, (label, len(s), segs[0] if segs else 0.0, segs, bins.tolist()), strict=True):
+                if not label:
+                    bins += np.histogram(np.clip(s, edges[0], edges[-1]), edges)[0]
+                for c, v in zip(cols, (label, len(s), segs[0] if segs else 0.0, segs, []), strict=True):
                     c.append(v)
+            if cols[4]:
+                cols[4][0] = bins.tolist()
             return dict(zip(held.names, cols, strict=True))
 
         yield from batches(each, held)(it)
