@@ -45,7 +45,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of all documents with their sequence and offset."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), encode_special_tokens=False)
 
 
 STAGES = [("toxicity", drop_toxic), ("language ID", known_language), ("n-gram Jaccard join", one_of_near_copies), ("secret scans", mask_secrets), ("packing", pack)]

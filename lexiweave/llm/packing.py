@@ -39,14 +39,15 @@ class Encoder:
     The file is a byte-level BPE of the `tokenizers` library. Its ids are computed by
     `tiktoken` from the same vocabulary, several times faster; tests hold them equal.
     A pre-token ends before a single space between two other characters, so a text
-    with no other spaces is the concatenation of its words' ids. Special strings in a
-    text are ordinary text.
+    with no other spaces is the concatenation of its words' ids. As in `tokenizers`, a
+    text is first split at the file's added tokens, which have ids of their own; with
+    `encode_special_tokens` they are ordinary text.
     """
 
     #: The pre-token pattern of this byte-level BPE: a fixed value.
     PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, encode_special_tokens: bool = True) -> None:
         import json
         import re
 
@@ -56,7 +57,12 @@ class Encoder:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
-        special = {t["content"] for t in stored["added_tokens"]}
+        special = {t["content"]: t for t in stored["added_tokens"]}
+        if any(t[k] for t in special.values() for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        own = {} if encode_special_tokens else {c: array("I", [t["id"]]).tobytes() for c, t in special.items()}
+        self.special = own
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split if own else None
         ranks = {bytes(byte[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.other_space = re.compile(r"[^\S \n]").search
@@ -66,6 +72,18 @@ class Encoder:
         return array("I", self.encode(text)).tobytes()
 
     def __call__(self, batch: list[str]) -> list[bytes]:
+        if not self.special:
+            return self.ordinary(batch)
+        out = self.ordinary(["" if any(c in text for c in self.special) else text for text in batch])
+        for i, text in enumerate(batch):
+            if text and not out[i]:
+                parts = self.split(text)  # ordinary text and added tokens in turn
+                parts[::2] = self.ordinary(parts[::2])
+                parts[1::2] = map(self.special.get, parts[1::2])
+                out[i] = b"".join(parts)
+        return out
+
+    def ordinary(self, batch: list[str]) -> list[bytes]:
         out, memo, ids = [], self.memo, self.ids
         for text in batch:
             if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or self.other_space(text):
@@ -87,12 +105,12 @@ class Encoder:
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, encode_special_tokens: bool = True) -> DataFrame:
     """docs(doc_id, text) as pieces of at most `sequence` ids: full ones and a remainder."""
     end = np.array([END], "<u4").tobytes()
 
     def run(it):
-        encode = Encoder(tokenizer_path)
+        encode = Encoder(tokenizer_path, encode_special_tokens)
 
         def cut(batch):
             cols: list[list] = [[], [], [], [], []]
@@ -268,6 +286,10 @@ def pack(cut: DataFrame) -> DataFrame:
     return put.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("slot")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Pieces of docs(doc_id, text) with their sequence and gapless offset there."""
-    return pack(materialize(pieces(docs, tokenizer_path)))
+def pack_documents(docs: DataFrame, tokenizer_path: str, encode_special_tokens: bool = True) -> DataFrame:
+    """Pieces of docs(doc_id, text) with their sequence and gapless offset there.
+
+    `encode_special_tokens` is the setting of that name in `tokenizers`, false there:
+    whether added tokens in a text, such as <|endoftext|>, are ordinary text.
+    """
+    return pack(materialize(pieces(docs, tokenizer_path, encode_special_tokens=encode_special_tokens)))

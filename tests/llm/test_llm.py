@@ -174,6 +174,20 @@ def test_packing(spark):
     assert sum(n for _, n in plan) <= sum(n for _, n in packing.first_fit(demand, 256))
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    from lexiweave.llm.queries import op4_packing
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    docs = dict(enumerate(("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "two words <|endoftext|>", "plain words", "")))
+    spark.createDataFrame([*docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op4_packing(spark, str(tmp_path)).collect()}
+    assert t.encode(docs[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, x in docs.items():
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        assert got[i]["doc_tokens"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def brute_components(docs):
     sets = {}
     for i, x in docs.items():
