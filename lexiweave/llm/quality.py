@@ -10,7 +10,8 @@ stratum loses more than RISK of its good documents to all rules together.
 
 Measures of a text without words are 0. Strata without enough labels have no cutoffs:
 only the base rules apply there. Null texts have no words; a null stratum is its own.
-Labels come from at most SAMPLE rows. Repeated rows are judged each. Ties at a cutoff
+Cutoffs come from all labelled rows; labels with a null id or value are skipped, and of
+repeated ids the largest label stays. Repeated rows are judged each. Ties at a cutoff
 are kept. Other columns are not read.
 """
 
@@ -23,9 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels
-
-SAMPLE = 60_000
 RISK, DELTA = 0.05, 0.05
 SPACE = " \t\n\r\x0b\f"
 SYMBOLS = "#*$%&|<>"
@@ -100,14 +98,31 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return kept.mapInArrow(run, schema + "".join(f", {m} {'long' if i < 5 else 'double'}" for i, m in enumerate(MEASURES)))
 
 
+def incomplete_beta(a: float, b: float, x: float, rest: float) -> float:
+    """The regularised incomplete beta function at x, where rest = 1 - x, by Lentz's continued fraction."""
+    if x <= 0 or rest <= 0:
+        return float(rest <= 0)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, rest, x)
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    value = d
+    for m in range(1, 1000 + 20 * math.isqrt(int(a + b))):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            c, d = 1 + step / c or tiny, 1 / (1 + step * d or tiny)
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return math.exp(math.lgamma(a + b) - math.lgamma(a + 1) - math.lgamma(b) + a * math.log(x) + b * math.log(rest)) * value
+
+
 def upper_bound(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest rate at which k or fewer of n still has probability delta."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
 
     def tail(p: float) -> float:
-        return sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs))
+        return incomplete_beta(n - k, k + 1, 1 - p, p)
 
     low, high = k / n, 1.0
     for _ in range(60):
@@ -131,14 +146,10 @@ def choose(counts: dict[str, dict[str, list[int]]], sizes: dict[str, int], risk:
     return out
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, train_where, sample: int = SAMPLE) -> dict[str, dict[str, float]]:
+def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, train_where) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum from measured(doc_id, stratum, MEASURES) and labels(doc_id, quality)."""
-    spark = measured.sparkSession
-    good = [i for i, v in bounded_labels(labels, "quality", train_where, sample, "quality").items() if v]
-    if not good:
-        return {}
-    known = spark.createDataFrame(pa.table({"doc_id": pa.array(good, pa.int64())}))  # at most SAMPLE rows
-    rows = measured.join(F.broadcast(known), "doc_id").where(~base_failed())
+    good = labels.where(F.col("doc_id").isNotNull() & train_where).groupBy("doc_id").agg(F.max("quality").alias("__label")).where("__label <> 0").select("doc_id")
+    rows = measured.join(good, "doc_id").where(~base_failed())
     rejected = [F.sum(_bad(rule, sign, F.lit(c)).cast("long")).alias(f"{rule}_{j}") for rule, (sign, grid) in RULES.items() for j, c in enumerate(grid)]
     got = rows.groupBy(F.coalesce(stratum, F.lit("")).alias("s")).agg(F.count("*").alias("n"), *rejected).collect()  # a row a stratum
     counts = {r["s"]: {rule: [r[f"{rule}_{j}"] for j in range(len(grid))] for rule, (_, grid) in RULES.items()} for r in got}
