@@ -278,6 +278,26 @@ def test_licenses(spark):
     assert got == ["mit", "cc_by_nc", "gpl,proprietary", "", ""]
 
 
+def test_licenses_over_line_ends(spark):
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    mit = licenses.TEMPLATES["mit"][2].split()
+    other = " ".join(f"plain{i}" for i in range(500))
+    t = [
+        "\n".join(gpl), "\n".join(" * " + x for x in ("Some file.", "", *gpl, "", "More text.")), "\n".join(" ".join(mit[i : i + 4]) for i in range(0, len(mit), 4)),
+        f"{other} {' '.join(mit)} {other}", "\n".join(gpl) + "\n\n" + licenses.TEMPLATES["apache"][1].replace("; you", ";\nyou") + "\n \n\nHe renewed his driving\nlicense before the trip.",
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["confirmed"] for r in got] == ["gpl", "gpl", "mit", "mit", "apache,gpl"] and [r["licenses"] for r in got] == [r["confirmed"] for r in got]
+    assert [(r["n_license_paragraphs"], r["n_unknown_paragraphs"]) for r in got] == [(1, 0)] * 4 + [(2, 1)]
+
+
+def test_licenses_beside_other_text(spark):
+    other = " ".join(f"plain{i}" for i in range(20))
+    t = [f"{other}\n{x}\n{other}" for x in ("Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.")]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == ["apache", "cc_by_nc", "mit"]
+
+
 def test_language(spark):
     t = {"en": "the quick brown fox jumps over the lazy dog and then the other one", "de": "der schnelle braune fuchs springt über den faulen hund und dann noch einer"}
     model = {k: language._top(language.grams(v), 600) for k, v in t.items()}
