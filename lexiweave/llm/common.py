@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step handles; a longer single text is handled alone.
 STEP_BYTES = 1 << 20
@@ -20,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; a temporary one of our own only where the master is local and the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/lexiweave-checkpoints"
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/lexiweave-checkpoints"
 
 
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -34,7 +37,24 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     if partitions:
         df = df.coalesce(partitions)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "scratch", None)
+        if path:
+            spark = df.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """A written table (row, kept): each row of docs as a struct with a number of its own, whatever the ids."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept")))
 
 
 def crc_mod(doc_id: str | Column, n: int) -> Column:
@@ -43,6 +63,26 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
+def held_out(n: int, rest: int, doc_id: str = "doc_id") -> Column:
+    """Whether the row never teaches: its crc32 modulo n is `rest`. A null id is held out, too."""
+    return F.coalesce(crc_mod(doc_id, n) == rest, F.lit(True))
+
+
+def carried(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(kept, text): columns of docs (all, or those named) as one struct, so that no name can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("kept"), F.col("text").cast("string").alias("text"))
+
+
+def with_kept(rows: DataFrame, ddl: str) -> StructType:
+    """The schema of `kept` as in rows, and the columns of `ddl` after it."""
+    return StructType([rows.schema["kept"], *StructType.fromDDL(ddl).fields])
+
+
+def beside(made: DataFrame, keep: tuple[str, ...], *names: str) -> DataFrame:
+    """The columns `keep` of made.kept, and made's own `names`; of two with one name the operator's own stays."""
+    return made.select(*(F.col(f"kept.`{c}`").alias(c) for c in keep if c not in names), *names)
+
+
 def text_slices(col: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets in them) of at most `step` bytes, or one row.
 
