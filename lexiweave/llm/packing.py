@@ -7,7 +7,8 @@ dual values. The rounded-down pattern counts, and a first-fit-decreasing plan of
 remainders that rounding leaves, are assigned to documents ranked within their class.
 Only the histogram (at most CLASSES rows) reaches the driver.
 
-A null or empty text is one piece, its end id alone. Repeated rows are packed each.
+A null or empty text is one piece, its end id alone. A text of any length is one value of
+its column and is encoded whole, in time nearly in proportion to it. Repeated rows are packed each.
 Ties rank by id, length and checksum; rows equal in all of these are interchangeable.
 An empty table gives no pieces. Other columns are not read.
 """
@@ -26,11 +27,13 @@ from .common import batches, materialize, texts
 
 SEQUENCE, GRID = 2048, 8
 CLASSES = SEQUENCE // GRID
-#: Rows of one class are ranked in so many hash buckets, so that no length is one task.
-BUCKETS = 256
+#: Rows of one class are ranked in hash buckets of about so many, and at least LEAST buckets, so that no length is one task.
+BUCKET_ROWS, LEAST = 200_000, 16
 END = 1
-#: Word pieces whose ids a worker remembers before it starts anew.
-MEMO = 400_000
+#: Word pieces whose ids a worker remembers before it starts anew, and their longest length.
+MEMO, MEMO_CHARS = 400_000, 64
+#: White space as Unicode has it: a fixed value. Longer runs of it than LONG characters are cut out before the pattern reads them.
+SPACES, LONG = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 2000
 
 
 class Encoder:
@@ -64,12 +67,24 @@ class Encoder:
         self.special = own
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split if own else None
         ranks = {bytes(byte[c] for c in token): i for token, i in stored["model"]["vocab"].items() if token not in special}
-        self.encode = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.bpe = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long_run = re.compile(f"[{SPACES}]{{{LONG},}}").finditer
         self.other_space = re.compile(r"[^\S \n]").search
         self.memo: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
+        if len(text) < LONG:
+            return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        # the pattern takes a run of white space as one piece, but for a last character with text after it;
+        # it would nest as deep as the run is long
+        at, out = 0, array("I")
+        for run in self.long_run(text):
+            end = run.end() - (run.end() < len(text))
+            out.extend(self.bpe.encode_ordinary(text[at : run.start()]))
+            out.extend(self.bpe._encode_single_piece(text[run.start() : end].encode()))
+            at = end
+        out.extend(self.bpe.encode_ordinary(text[at:]))
+        return out.tobytes()
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         if not self.special:
@@ -97,7 +112,9 @@ class Encoder:
                 for i, part in enumerate(parts):
                     if part is None:
                         w = words[i]
-                        parts[i] = memo[w] = memo.get(w) or ids(" " + w)
+                        parts[i] = memo.get(w) or ids(" " + w)
+                        if len(w) <= MEMO_CHARS:
+                            memo[w] = parts[i]
             out.append(ids(first) + b"".join(parts))
         return out
 
@@ -256,29 +273,34 @@ def pack(cut: DataFrame) -> DataFrame:
     """Sequence and offset of each piece. `cut` is read several times: give a written table."""
     spark = cut.sparkSession
     kind = F.when(F.col("length") == SEQUENCE, F.lit(CLASSES)).otherwise(F.floor((F.col("length") - 1) / GRID)).cast("int")
-    rows = cut.withColumn("class", kind).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = rows.groupBy("class", "bucket").agg(F.count("*").alias("n")).toArrow()  # at most (CLASSES + 1) * BUCKETS rows
-    table = np.zeros((CLASSES + 1, BUCKETS), np.int64)
-    table[counts["class"].to_numpy(), counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    lead = np.cumsum(table, 1) - table
-    placed, packed = slots(plan(table[:CLASSES].sum(1)))
-    bc = spark.sparkContext.broadcast((lead, placed, packed))
+    rows = cut.withColumn("class", kind)
+    sizes = dict(rows.groupBy("class").count().collect())  # at most CLASSES + 1 rows
+    split = [max(LEAST, -(-sizes.get(c, 0) // BUCKET_ROWS)) for c in range(CLASSES + 1)]
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.array(*map(F.lit, split))[F.col("class")]).cast("int"))
+    counts = rows.groupBy("class", "bucket").agg(F.count("*").alias("n")).toArrow()  # a row a bucket
+    first = np.cumsum([0, *split])  # the place of each class's buckets in `lead`
+    table = np.zeros(first[-1], np.int64)
+    table[first[counts["class"].to_numpy()] + counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    before = np.cumsum(table) - table
+    lead = before - np.repeat(before[first[:-1]], split)
+    placed, packed = slots(plan(np.array([sizes.get(c, 0) for c in range(CLASSES)])))
+    bc = spark.sparkContext.broadcast((first, lead, placed, packed))
     local = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "length", "ids_crc32")) - 1
     ranked = rows.withColumn("rank", local.cast("long"))
     schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("slot", pa.int64())])
 
     def assign(batch):
-        lead, placed, packed = bc.value
+        first, lead, placed, packed = bc.value
         c, b = batch.column("class").to_numpy(), batch.column("bucket").to_numpy()
-        rank = batch.column("rank").to_numpy() + lead[c, b]
+        rank = batch.column("rank").to_numpy() + lead[first[c] + b]
         seq, slot = packed + rank, np.zeros(len(rank), np.int64)
         small = c < CLASSES
         if small.any():
             key = placed[:, 0] << 44 | placed[:, 1]
             at = np.searchsorted(key, c[small].astype(np.int64) << 44 | rank[small], "right") - 1
-            _, start, per, first, before = placed[at].T
-            seq[small] = first + (rank[small] - start) // per
-            slot[small] = before + (rank[small] - start) % per
+            _, start, per, sequence, lower = placed[at].T
+            seq[small] = sequence + (rank[small] - start) // per
+            slot[small] = lower + (rank[small] - start) % per
         return {n: batch.column(n) for n in PIECES.names} | {"sequence_id": seq, "slot": slot}
 
     put = ranked.mapInArrow(batches(assign, schema), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
