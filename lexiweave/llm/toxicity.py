@@ -11,13 +11,16 @@ follow an extreme-value law: the expected number of segments with a score of S o
 among n tokens is K n exp(-lambda S). lambda solves the moment equation of the clean
 tokens' scores, K is fitted to the clean documents' best segments. Segments expected less
 than ALPHA times are toxic passages. The document's evidence is the sum of their
-lambda S - ln(K n); a logistic curve fitted to the labels turns it into a score.
+lambda S - ln(K n); a logistic curve fitted to the labels turns it into a score. For the fit,
+segment scores are gathered per document on a grid of STEP, by number and sum.
 
 Labels are learned from at most SAMPLE labelled rows (chosen by hash); exact copies among
 them count once; a document's own counts are taken out when the curve is fitted. Null and
 empty texts have no passage and get the score of no evidence. Without labels of both
 kinds every score is 0. Repeated rows are scored each; ties between segments cannot
-occur, as maximal segments are disjoint. Other columns are not read.
+occur, as maximal segments are disjoint; tied labels of one id count as the larger. A text
+of any length is one value of its column; the scan takes time in proportion to it. Other
+columns are not read, and one named as an output gives way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bounded_labels
+from .common import batches, beside, bounded_labels, carried, with_kept
 
 SAMPLE = 60_000
 LEVELS = (3, 4, 5)
@@ -38,7 +41,10 @@ LEVELS = (3, 4, 5)
 MASS, ROOT = 4.0, 0.15
 FLOOR = -3.0
 ALPHA = 0.01
-MEMO = 500_000
+#: Tokens whose log-odds a worker remembers before it starts anew, and their longest length.
+MEMO, MEMO_CHARS = 500_000, 64
+#: The fit gathers a document's segment scores on a grid of this step; the last step takes the rest.
+STEP, STEPS = 1 / 16, 4096
 
 
 def word(token: str) -> str:
@@ -52,24 +58,34 @@ def units(w: str) -> list[str]:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass over the positive runs."""
+    """All maximal scoring segments (start, end, score), in time linear in the tokens.
+
+    Each open segment keeps a link to the last earlier one with a lower sum to its left, so a
+    search follows links instead of reading all open segments; where there is none, the open
+    ones are final.
+    """
     at = np.flatnonzero(scores > 0)
     if not len(at):
         return []
     sums = np.concatenate(([0.0], np.cumsum(scores)))
-    stack: list[list] = []  # [start, end, sum before, sum after]
-    for i in at.tolist():
-        seg = [i, i + 1, float(sums[i]), float(sums[i + 1])]
+    done: list[tuple[int, int, float]] = []
+    start, end, left, right, link = [], [], [], [], []  # of the open segments
+    for i, before, after in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist(), strict=True):
+        a, b = i, i + 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= seg[3]:
-                stack.append(seg)
+            j = len(left) - 1
+            while j >= 0 and left[j] >= before:
+                j = link[j]
+            if j < 0:
+                done += zip(start, end, map(float.__sub__, right, left), strict=True)
+                start, end, left, right, link = [a], [b], [before], [after], [-1]
+                break
+            if right[j] >= after:
+                start.append(a), end.append(b), left.append(before), right.append(after), link.append(j)
                 break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
-            del stack[j:]
-    return [(a, b, r - left) for a, b, left, r in stack]
+            a, before = start[j], left[j]
+            del start[j:], end[j:], left[j:], right[j:], link[j:]
+    return done + list(zip(start, end, map(float.__sub__, right, left), strict=True))
 
 
 class Odds:
@@ -103,7 +119,9 @@ class Odds:
             for i, x in enumerate(found):
                 if x is None:
                     t = tokens[i]
-                    found[i] = memo[t] = memo[t] if t in memo else self.of(t)
+                    found[i] = memo[t] if t in memo else self.of(t)
+                    if len(t) <= MEMO_CHARS:
+                        memo[t] = found[i]
         return np.array(found)
 
 
@@ -165,43 +183,42 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column, sample: int = S
         yield from out()
 
     counted = rows.select("doc_id", "text", "label").mapInArrow(count, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # units of fewer than two toxic documents teach next to nothing, unless they are common in clean ones
-    t = counted.where("unit = '' or toxic >= 2 or clean >= 50").toArrow()
+    t = counted.toArrow()  # the units of at most `sample` texts
     counts = dict(zip(t["unit"].to_pylist(), zip(t["toxic"].to_pylist(), t["clean"].to_pylist(), strict=True), strict=True))
     n_toxic, n_clean = counts.pop("", (0, 0))
     bc = sc.broadcast((counts, n_toxic, n_clean))
-    held = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("tops", pa.list_(pa.float64())), ("bins", pa.list_(pa.int64()))])
+    held = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("many", pa.list_(pa.int32())), ("total", pa.list_(pa.float64())), ("bins", pa.list_(pa.int64()))])
     edges = np.linspace(FLOOR, 9.0, 241)
 
     def measure(it):
         odds = Odds(*bc.value)
 
         def each(batch):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             bins = np.zeros(len(edges) - 1, np.int64)  # of the whole batch, sent with its first row
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = odds.scores(text.lower().split(), (1, 0) if label else (0, 1))
-                segs = sorted((x for _, _, x in maximal_segments(s)), reverse=True)[:64]
+                found = np.array([x for _, _, x in maximal_segments(s)])
                 if not label:
                     bins += np.histogram(np.clip(s, edges[0], edges[-1]), edges)[0]
-                for c, v in zip(cols, (label, len(s), segs[0] if segs else 0.0, segs, []), strict=True):
+                _, place, many = np.unique(np.minimum(found / STEP, STEPS).astype(np.int64), return_inverse=True, return_counts=True)
+                for c, v in zip(cols, (label, len(s), found.max() if len(found) else 0.0, many, np.bincount(place, found, len(many)), []), strict=True):
                     c.append(v)
-            if cols[4]:
-                cols[4][0] = bins.tolist()
+            if cols[5]:
+                cols[5][0] = bins.tolist()
             return dict(zip(held.names, cols, strict=True))
 
         yield from batches(each, held)(it)
 
-    m = rows.select("doc_id", "text", "label").mapInArrow(measure, "label int, n long, best double, tops array<double>, bins array<long>")
+    m = rows.select("doc_id", "text", "label").mapInArrow(measure, "label int, n long, best double, many array<int>, total array<double>, bins array<long>")
     bins = np.zeros(len(edges) - 1)
     docs_n, docs_best, docs_tops, docs_label = [], [], [], []
-    for part in m.toArrow().to_batches(max_chunksize=2000):  # at most SAMPLE rows
-        label = np.array(part.column(0).to_pylist())
-        docs_label.append(label)
-        docs_n.append(np.array(part.column(1).to_pylist(), float))
-        docs_best.append(np.array(part.column(2).to_pylist(), float))
-        docs_tops += part.column(3).to_pylist()
-        values = part.column(4).flatten().to_numpy()
+    for part in m.toArrow().to_batches(max_chunksize=2000):  # at most SAMPLE rows, of at most STEPS scores
+        docs_label.append(part.column(0).to_numpy())
+        docs_n.append(part.column(1).to_numpy().astype(float))
+        docs_best.append(part.column(2).to_numpy())
+        docs_tops.append((part.column(3).value_lengths().to_numpy(), part.column(3).flatten().to_numpy(), part.column(4).flatten().to_numpy()))
+        values = part.column(5).flatten().to_numpy()
         bins += values.reshape(-1, len(edges) - 1).sum(0)
     label, n, best = np.concatenate(docs_label), np.concatenate(docs_n), np.concatenate(docs_best)
     lam = karlin_lambda((edges[:-1] + edges[1:]) / 2, bins)
@@ -209,7 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column, sample: int = S
     # the best segment of n random tokens has mean (ln(K n) + Euler's constant) / lambda
     k = float(np.exp(np.clip(np.mean(lam * best[clean] - np.log(n[clean])) - 0.5772156649, -12, 0))) if clean.any() else 0.1
     model = Model(Odds(counts, n_toxic, n_clean), lam, k, (0.0, 1.0))
-    x = np.array([math.log1p(sum(e for e in (lam * s - math.log(k * max(w, 1)) for s in tops) if e > -math.log(ALPHA))) for tops, w in zip(docs_tops, n, strict=True)])
+    size, many, total = (np.concatenate(x) for x in zip(*docs_tops, strict=True))
+    owner = np.repeat(np.arange(len(n)), size)
+    base = np.log(k * np.maximum(n, 1))[owner]
+    enough = lam * total / many - base > -math.log(ALPHA)  # all of a step count as its mean does
+    x = np.log1p(np.bincount(owner[enough], (lam * total - many * base)[enough], len(n)))
     model.curve = logistic(x, label.astype(float))
     return model
 
@@ -244,8 +265,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(text, and the columns `keep`) with score, predicted, and the passages as token ranges."""
+def judged(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs(text) -> kept (its columns, or those named, as a struct), score, predicted, and the passages as token ranges."""
     bc = docs.sparkSession.sparkContext.broadcast((model.odds.counts, model.odds.n_toxic, model.odds.n_clean, model.lam, model.k, model.curve))
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -254,12 +275,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         own = Model(Odds(counts, a, b), *rest)
         for batch in it:
             out, spans = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(1).to_pylist():
                 found = own.passages(own.odds.scores((text or "").lower().split())) if counts else []
                 out.append(own.probability(sum(e for *_, e in found)) if counts else 0.0)
                 spans.append([{"start": i, "end": j, "score": s} for i, j, s, _ in found])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32()), pa.array(spans, kinds)], [*keep, "score", "predicted", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32()), pa.array(spans, kinds)], ["kept", "score", "predicted", "passages"])
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
-    return kept.mapInArrow(run, f"{schema}, score double, predicted int, passages array<struct<start:long,end:long,score:double>>")
+    rows = carried(docs, keep)
+    return rows.mapInArrow(run, with_kept(rows, "score double, predicted int, passages array<struct<start:long,end:long,score:double>>"))
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(text, and the columns `keep`) with score, predicted, and the passages as token ranges."""
+    return beside(judged(docs, model, keep), keep, "score", "predicted", "passages")
