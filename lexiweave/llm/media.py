@@ -6,8 +6,11 @@ fragments tfhd, tfdt, trun) to byte ranges. `mux` writes such a file from raw 8-
 samples. `media_columns` applies `probe` to a binary column; `text_media` stores the
 texts of a table as media and reads them back.
 
-Null, empty or damaged media give ok=false and no tracks; a null text is an empty one;
-repeated rows each give their row; other columns of the input are not read.
+Null, empty or damaged media give ok=false and no tracks: boxes that leave their parent or
+nest deeper than NESTED, tables that leave the file, more samples than the file has bytes.
+A null text is an empty one; repeated rows each give their row, and tied times keep the file's
+order. A text of any length is one value of its column. Other columns of the input are not
+read; `media_columns` replaces a column of the name it makes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .common import batches, texts
 
 #: Boxes that hold only boxes (ISO/IEC 14496-12): fixed values.
 CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"mfra", b"udta"}
+#: Files with boxes nested deeper are taken as damaged.
+NESTED = 64
 SIDE, FRAME = 24, 24 * 24
 TIMESCALE, KEY_EVERY = 25, 12
 UNITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -72,28 +77,51 @@ def mux(payload: bytes, key_every: int = KEY_EVERY) -> bytes:
     return ftyp + moov(len(head) + len(lead)) + lead + payload
 
 
-def walk(data: memoryview, at: int, end: int, path: tuple = ()):
-    """(path, body start, body end) of every box, in file order; a box beyond its parent is an error."""
-    while at + 8 <= end:
+def walk(data: memoryview, at: int, end: int):
+    """(path, start, body start, body end) of every box, in file order; a box beyond its parent is an error."""
+    inside: list[tuple[tuple, int]] = [((), end)]  # the containers open here, and where each ends
+    while True:
+        path, end = inside[-1]
+        if at + 8 > end:
+            inside.pop()
+            if not inside:
+                return
+            at = end
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
+            if at + 16 > end:
+                raise ValueError(f"box {kind!r} at {at} leaves its parent")
             size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
         elif size == 0:
             size = end - at
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} at {at} leaves its parent")
+        if len(inside) > NESTED:
+            raise ValueError("boxes are nested too deep")
         here = (*path, kind)
         yield here, at, at + head, at + size
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, here)
-        at += size
+            inside.append((here, at + size))
+            at += head
+        else:
+            at += size
 
 
 def _words(data, at: int, n: int, kind: str = "I") -> tuple:
+    if at + n * struct.calcsize(f">{kind}") > len(data):
+        raise ValueError("a table leaves the file")
     return struct.unpack_from(f">{n}{kind}", data, at)
 
 
+def _same(size: int, n: int, data) -> list[int]:
+    """n samples of one size; samples of a byte or more cannot be more than the file has bytes."""
+    if n > len(data):
+        raise ValueError("more samples than the file has bytes")
+    return [size] * n
+
+
 class _Track:
     def __init__(self) -> None:
         self.id, self.handler, self.codec, self.scale, self.duration, self.width, self.height = 0, "", "", 0, 0, 0, 0
@@ -104,7 +132,8 @@ class _Track:
         """(time, offset, size, key) of each sample that the tables name."""
         times, t = [], 0
         for n, d in self.stts:
-            times.extend(range(t, t + n * d, d) if d else [t] * n)
+            named = min(n, len(self.sizes) - len(times))
+            times.extend(range(t, t + named * d, d) if d else [t] * named)
             t += n * d
         keys = None if self.keys is None else set(self.keys)
         k = 0
@@ -159,7 +188,7 @@ def probe(media: bytes | None) -> dict:
                 current.stsc = list(zip(w[::3], w[1::3], strict=True))
             elif kind == b"stsz":
                 same, n = _words(data, at + 4, 2)
-                current.sizes = [same] * n if same else list(_words(data, at + 12, n))
+                current.sizes = _same(same, n, data) if same else list(_words(data, at + 12, n))
             elif kind == b"stz2":
                 bits, n = data[at + 7], _words(data, at + 8, 1)[0]
                 if bits == 4:
@@ -206,6 +235,8 @@ def probe(media: bytes | None) -> dict:
                     pos, p = base + _words(data, p, 1, "i")[0], p + 4
                 if flags & 4:
                     first, p = _words(data, p, 1)[0], p + 4
+                if n > len(data):
+                    raise ValueError("more samples than the file has bytes")
                 for j in range(n):
                     d, s, f = defaults
                     if flags & 0x100:
@@ -227,7 +258,7 @@ def probe(media: bytes | None) -> dict:
             t.samples += fragments
             if any(o + s > len(data) for _, o, s, _ in t.samples):
                 raise ValueError("a sample lies beyond the file")
-    except (ValueError, struct.error, StopIteration, AttributeError, IndexError):
+    except (ValueError, struct.error, StopIteration, AttributeError, IndexError, OverflowError):
         return none
     if brand is None and not tracks:
         return none
@@ -265,7 +296,7 @@ def probe_track(media: bytes) -> _Track:
             t.stsc = [(a, b) for a, b, _ in zip(w[::3], w[1::3], w[2::3], strict=True)]
         elif path[-1] == b"stsz":
             same, k = _words(data, at + 4, 2)
-            t.sizes = [same] * k if same else list(_words(data, at + 12, k))
+            t.sizes = _same(same, k, data) if same else list(_words(data, at + 12, k))
         elif path[-1] == b"co64":
             t.chunks = list(_words(data, at + 8, n(), "Q"))
     t.resolve()
@@ -293,7 +324,7 @@ def store(text: str) -> tuple[int, bytes]:
 
 
 OUT = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframe_ranges_crc32", pa.int64())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64()), ("keyframes", pa.list_(pa.struct([("time", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])))]
 )
 
 
@@ -315,10 +346,9 @@ def digest(text: str) -> tuple:
             size += len(part)
             tail = (tail + bytes(part[-32:]))[-32:]
         run_at, run_end = o, (o or 0) + s
-    ranges = b"".join(struct.pack("<QQ", k["offset"], k["size"]) for k in track["keyframes"])
     first, last = track["keyframes"][0], track["keyframes"][-1]
     feature = f"{info['brand']}/{track['handler']}/{track['codec']}/{track['width']}x{track['height']} duration={track['duration']}/{track['timescale']} samples={track['n_samples']} keyframes={track['n_keyframes']} first={first['offset']}+{first['size']} last={last['offset']}+{last['size']}"
-    return (n, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, track["codec"], info["duration_s"], track["n_samples"], track["n_keyframes"], zlib.crc32(ranges))
+    return (n, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, track["codec"], info["duration_s"], track["n_samples"], track["n_keyframes"], track["keyframes"])
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -328,4 +358,4 @@ def text_media(docs: DataFrame) -> DataFrame:
         rows = list(zip(*map(digest, texts(batch.column(1))), strict=True)) or [[] for _ in OUT.names[1:]]
         return dict(zip(OUT.names, [batch.column(0), *rows], strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(run, OUT), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, n_keyframes long, keyframe_ranges_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(run, OUT), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<time:long,offset:long,size:long>>")
