@@ -9,7 +9,9 @@ n-grams of 1 to 3 characters do not span words (a space marks a word's start and
 Ties in a profile rank by the n-gram's code, so results do not depend on row order.
 Null texts and texts without a letter give `und` and score 0. Rows whose lang is null
 teach nothing; with nothing to learn from, every prediction is `und`. Repeated rows
-count as often as they occur. Other columns are not read.
+count as often as they occur. Languages at one distance go by name. A text of any length is
+one value of its column and is profiled whole. Other columns are not read, and one named as
+an output gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, text_slices
+from .common import batches, beside, carried, text_slices, with_kept
 
 #: Length of the languages' and the documents' profiles.
 PROFILE, DOC_PROFILE = 600, 400
@@ -113,19 +115,23 @@ def classifier(model: dict[str, np.ndarray], k: int = PROFILE, doc_k: int = DOC_
     return predict
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(text, and the columns `keep`) with lang_pred and score."""
+def predicted(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs(text) -> kept (its columns, or those named, as a struct), lang_pred and score."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it):
         predict = classifier(bc.value)
         for batch in it:
-            found = [predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
+            found = [predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["kept", "lang_pred", "score"])
+
+    rows = carried(docs, keep)
+    return rows.mapInArrow(run, with_kept(rows, "lang_pred string, score double"))
 
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(text, and the columns `keep`) with lang_pred and score."""
+    return beside(predicted(docs, model, keep), keep, "lang_pred", "score")
 
 
 def learn_and_identify(docs: DataFrame, train_where: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw, language, licenses, media, ngram_join, packing, quality, secrets, sentencepiece_codec, toxicity
-from .common import crc_mod, materialize, table
+from .common import held_out, materialize, table
 
 
 def tokenizer(name: str) -> str:
@@ -21,7 +21,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return ctw.score_texts(table(spark, sf_dir, "documents"), ~held_out(5, 1))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    scored = toxicity.score(docs.withColumn("held_out", crc_mod("doc_id", 5) == 0), model, ("doc_id", "held_out"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = toxicity.score(docs.withColumn("held_out", held_out(5, 0)), model, ("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
@@ -57,8 +57,8 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language.profiles(docs.where(crc_mod("doc_id", 4) != 2).select("text", "lang"))
-    held = docs.select(F.col("doc_id").cast("long"), (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
+    model = language.profiles(docs.where(~held_out(4, 2)).select("text", "lang"))
+    held = docs.select(F.col("doc_id").cast("long"), held_out(4, 2).alias("held_out"), "text")
     return language.identify(held, model, ("doc_id", "held_out"))
 
 
@@ -67,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(quality.measures(docs, ("doc_id", "lang")))
     cutoffs = quality.calibrate(measured, table(spark, sf_dir, "labels"), "lang", F.lit(True))
     judged = quality.judge(measured, cutoffs, "lang")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"), "guarantee")
 
 
 QUERIES = {
