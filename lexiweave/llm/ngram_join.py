@@ -2,47 +2,60 @@
 
 A document's set is its distinct 5-word shingles (64-bit hashes of the lower-cased
 words; two shingles of a corpus of 10^9 collide with odds of about 3 in 100, which would
-move one intersection by one). All shingles have one global order: those that a first
-pass saw twice or more within a partition ("frequent") come last, the rest by hash.
+move one intersection by one). All shingles have one global order: the FREQUENT most
+frequent ones, of those that a first pass saw twice or more within a task, come last, by
+their counts; the rest by hash. The order is cut into FRAGMENTS ranges.
 
-1. Documents with equal sets are one class, named by a 64-bit signature.
+1. Documents with equal sets are one class, named by a 64-bit signature; classes that share
+   one but differ in a second 64-bit signature get other names.
 2. Two sets with Jaccard >= t share a shingle in the first (1 - t) |x| + 1 of each, so the
    classes meet on their prefix shingles. Up to the end of the prefix that ends first all
    common shingles are then known, and the rest of that set bounds those to come: pairs
    that cannot reach the overlap go before any set is read.
-3. Candidates on lists of at most DENSE classes are paired. The order is cut into FRAGMENTS
-   ranges; each pair's partial overlap is counted in every fragment apart and summed.
-4. Longer lists (large groups of near copies) are joined into groups, and each group has a
-   hub. A member linked to the hub is settled; the others are compared with the group's
-   members in blocks, fragment by fragment, and a block returns at most one link a row and
-   component. So no list is expanded into all its pairs, and no link between components
-   is lost.
-5. Links become components by label propagation over written tables.
+3. Overlaps are counted by fragment: each fragment of a set goes to a task of its own, which
+   counts the pairs' partial overlaps there; a shuffle sums them per pair.
+4. Classes on lists of more than DENSE (large groups of near copies) are joined into groups
+   instead of pairs. A group's hub is compared with each member, then a hub of the members
+   that are still alone with these, HUBS times. What is still apart then is compared across
+   in blocks, again by fragment; a block leaves out pairs whose sizes, or whose difference in
+   the fragment alone, rule a link out. So no list is expanded into all its pairs, and no
+   link between components is lost.
+5. Links become components by label propagation over written tables. Keys with many rows
+   (copies, hubs, roots of large components) are joined by broadcast: there are at most
+   HOT_KEYS of them.
 
 Null, empty and word-less texts have an empty set and link with nothing; fewer than five
-words are one shingle. Repeated rows are exact copies. Ties have no effect. An empty
-table gives no rows. Other columns are not read.
+words are one shingle. Repeated rows are exact copies. Ties have no effect. An empty table
+gives no rows. A text of any length is one value of its column; its set is read in
+fragments. Other columns are not read, but for the one named as `row`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, text_slices
+from .common import batches, discard, materialize, text_slices
 
 WIDTH, PERCENT = 5, 80
+#: Ranges of the order: half of them among the frequent shingles.
 FRAGMENTS = 8
 #: Lists of more classes are handled by hubs and blocks.
 DENSE = 64
-BLOCK = 512
+#: Members a side of a block, shingles of all sets a task compares at once, and rounds of hubs.
+BLOCK, SHINGLES, HUBS = 512, 1_000_000, 3
 #: At most so many frequent shingles are known to all tasks; those seen most often.
 FREQUENT = 200_000
+#: Keys with more than HOT rows, and more than a share of 1 / HOT_KEYS, are joined by broadcast.
+HOT, HOT_KEYS = 1000, 2000
+#: Tasks over which the list of one frequent shingle is dealt.
+SALTS = 64
 BITS = 1 << 25
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(1 << 63)
 _WORD = np.zeros(256, bool)
 _WORD[:] = True
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -105,30 +118,44 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
     return s, np.searchsorted(owner, np.arange(rows + 1))
 
 
-def _signature(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set; 0 for the empty one."""
+def _signature(sets: np.ndarray, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set, 0 for the empty one. A first name in `shared` is mixed with the second."""
     n = np.diff(at).astype(np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(sets + _BASE), dtype=np.uint64)))
-    sums = total[at[1:]] - total[at[:-1]]
-    return np.where(n > 0, _mix(sums ^ _mix(n)) | np.uint64(1), np.uint64(0)).view(np.int64)
+    names = []
+    for seed in (_BASE, _BASE >> np.uint64(1)):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(sets + seed), dtype=np.uint64)))
+        names.append(np.where(n > 0, _mix((total[at[1:]] - total[at[:-1]]) ^ _mix(n)) | np.uint64(1), np.uint64(0)))
+    first, second = names
+    if len(shared):
+        both = np.isin(first, shared)
+        first = np.where(both, _mix(first ^ _mix(second)) | np.uint64(1), first)
+    return first.view(np.int64), second.view(np.int64)
 
 
 def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A sorted set's places in the global order, ascending: 63 bits of the hash, above them whether it is frequent."""
+def _ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A sorted set's places in the global order, ascending: 63 bits of the hash, or the top bit and the rank of a frequent one."""
+    known, rank = frequent
     keys = s >> np.uint64(1)
-    if not len(frequent):
+    if not len(known):
         return keys
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    often = frequent[at] == s
-    return np.concatenate((keys[~often], keys[often] | np.uint64(1 << 63))) if often.any() else keys
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    often = known[at] == s
+    return np.concatenate((keys[~often], np.sort(rank[at[often]]) | _TOP)) if often.any() else keys
 
 
-def _column(batch: pa.RecordBatch):
-    for a, b, data, offsets in text_slices(batch.column(1)):
+def _cuts(places: np.ndarray, n_frequent: int) -> np.ndarray:
+    """Where each fragment of ascending places starts, and their end."""
+    half = FRAGMENTS // 2
+    pivots = [np.uint64(i * ((1 << 63) // half)) for i in range(half)] + [_TOP | np.uint64(i * n_frequent // half) for i in range(half)]
+    return np.append(np.searchsorted(places, np.array(pivots, np.uint64)), len(places))
+
+
+def _column(batch: pa.RecordBatch, text: int = 1):
+    for a, b, data, offsets in text_slices(batch.column(text)):
         yield a, b, *shingle_sets(data, offsets)
 
 
@@ -136,19 +163,22 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64())])
+def _classes(docs: DataFrame, row: str | None, shared: np.ndarray) -> DataFrame:
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
     def run(batch):
-        for a, b, s, at in _column(batch):
-            yield {"doc_id": batch.column(0).slice(a, b - a), "sig": _signature(s, at), "n": np.diff(at)}
+        for a, b, s, at in _column(batch, 2):
+            sig, other = _signature(s, at, shared)
+            yield {"row": batch.column(0).slice(a, b - a), "doc_id": batch.column(1).slice(a, b - a), "sig": sig, "other": other, "n": np.diff(at)}
 
-    return _documents(docs).mapInArrow(batches(run, schema), "doc_id long, sig long, n long")
+    rows = docs.select((F.col(row) if row else F.lit(0)).cast("long").alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(batches(run, schema), "row long, doc_id long, sig long, other long, n long")
 
 
-def _frequent(docs: DataFrame, percent: int) -> np.ndarray:
-    """Prefix shingles that occur twice or more within a task's rows: at most FREQUENT, those with the largest sums."""
+def _frequent(docs: DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, their ranks, the rarest 0) of prefix shingles that occur twice or more within a task's rows: at most FREQUENT, those with the largest sums."""
     schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+    none = np.zeros(0, np.uint64)
 
     def run(it):
         kept, held = [], 0
@@ -160,7 +190,7 @@ def _frequent(docs: DataFrame, percent: int) -> np.ndarray:
         for batch in it:
             for _, _, s, at in _column(batch):
                 parts, seen = [], set()
-                for i, j, g in zip(at[:-1], at[1:], _signature(s, at).tolist(), strict=True):
+                for i, j, g in zip(at[:-1], at[1:], _signature(s, at, none)[0].tolist(), strict=True):
                     if j > i and g not in seen:
                         seen.add(g)
                         parts.append(s[i : i + _prefix(j - i, percent)])
@@ -174,12 +204,16 @@ def _frequent(docs: DataFrame, percent: int) -> np.ndarray:
             yield out()
 
     top = _documents(docs).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "hash").limit(FREQUENT).select("hash").toArrow()
-    return np.sort(top["hash"].to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
+    if not top.num_rows:
+        return none, none
+    hashes = top["hash"].to_numpy().view(np.uint64)
+    o = np.argsort(hashes)
+    return hashes[o], (len(hashes) - 1 - o).astype(np.uint64)
 
 
-def _postings(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """(hash, sig, nl) of the prefix shingles of each class; nl: size times 2^32 plus the upper half of the prefix's last place."""
-    schema = pa.schema([("hash", pa.int64()), ("sig", pa.int64()), ("nl", pa.int64())])
+def _postings(docs: DataFrame, frequent, shared: np.ndarray, percent: int) -> DataFrame:
+    """(place, sig, nl) of the prefix shingles of each class; nl: size times 2^32 plus the upper half of the prefix's last place. A frequent shingle's place is negative."""
+    schema = pa.schema([("place", pa.int64()), ("sig", pa.int64()), ("nl", pa.int64())])
 
     def run(it):
         often, done = frequent.value, set()
@@ -187,7 +221,7 @@ def _postings(docs: DataFrame, frequent, percent: int) -> DataFrame:
         def each(batch):
             for _, _, s, at in _column(batch):
                 hs, gs, ps = [], [], []
-                for i, j, g in zip(at[:-1], at[1:], _signature(s, at).tolist(), strict=True):
+                for i, j, g in zip(at[:-1], at[1:], _signature(s, at, shared)[0].tolist(), strict=True):
                     n = int(j - i)
                     if n and g not in done:
                         done.add(g)
@@ -197,15 +231,15 @@ def _postings(docs: DataFrame, frequent, percent: int) -> DataFrame:
                         gs.append(np.full(k, g))
                         ps.append(np.full(k, (n << 32) + (int(prefix[-1]) >> 32)))
                 if hs:
-                    yield {"hash": np.concatenate(hs).view(np.int64), "sig": np.concatenate(gs), "nl": np.concatenate(ps)}
+                    yield {"place": np.concatenate(hs).view(np.int64), "sig": np.concatenate(gs), "nl": np.concatenate(ps)}
 
         yield from batches(each, schema)(it)
 
-    return _documents(docs).mapInArrow(run, "hash long, sig long, nl long")
+    return _documents(docs).mapInArrow(run, "place long, sig long, nl long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sig, set in fragments) of the classes in ids(doc_id, sig), read anew from the texts.
+def _sets(docs: DataFrame, ids: DataFrame, frequent, shared: np.ndarray) -> DataFrame:
+    """(sig, fragment, part) of the classes in ids(doc_id, sig), read anew from the texts; part: places in the order, ascending.
 
     A Bloom filter of BITS bits, whatever the input's size, spares most other documents.
     """
@@ -216,170 +250,275 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = np.zeros(BITS // 64, np.uint64)
     if got.num_rows:
         bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
-    bc = spark.sparkContext.broadcast(np.packbits(np.unpackbits(bits.view(np.uint8))))
-    schema = pa.schema([("sig", pa.int64()), ("set", pa.list_(pa.int64()))])
+    bc = spark.sparkContext.broadcast(bits)
+    schema = pa.schema([("sig", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
 
-    def run(batch):
-        words = bc.value.view(np.uint64)
-        at = batch.column(2).to_numpy()
-        may = (words[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
-        if may.any():
+    def run(it):
+        words, often, done = bc.value, frequent.value, set()
+
+        def each(batch):
+            at = batch.column(2).to_numpy()
+            may = (words[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+            if not may.any():
+                return
             batch = batch.filter(pa.array(may))
-            for a, b, s, off in _column(batch):
-                yield {"sig": _signature(s, off), "set": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(s.view(np.int64)))}
+            for _, _, s, off in _column(batch):
+                sigs, numbers, ends, parts = [], [], [0], []
+                for i, j, g in zip(off[:-1], off[1:], _signature(s, off, shared)[0].tolist(), strict=True):
+                    if i == j or g in done:
+                        continue
+                    done.add(g)
+                    places = _ordered(s[i:j], often)
+                    cut = _cuts(places, len(often[0]))
+                    used = np.flatnonzero(np.diff(cut))
+                    sigs += [g] * len(used)
+                    numbers += used.tolist()
+                    ends += (ends[-1] + cut[used + 1]).tolist()
+                    parts.append(places)
+                if parts:
+                    yield {"sig": sigs, "fragment": numbers, "part": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))}
 
-    found = _documents(docs).withColumn("at", place).mapInArrow(batches(run, schema), "sig long, set array<long>")
-    return found.select("sig", "set")  # a copy or two more do no harm
+        yield from batches(each, schema)(it)
 
+    return _documents(docs).withColumn("at", place).mapInArrow(run, "sig long, fragment int, part array<long>")
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: partial overlaps by fragment of the order, summed per pair.
 
-    Pairs of one component of candidates are counted together, so a set is sent once for
-    all its pairs; components of more than BLOCK classes are cut into blocks of pairs.
-    """
-    roots = components(pairs)
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    at = roots.join(sizes, "root").select(F.col("node").alias("a"), "root", "k")
-    groups = max(1, roots.count() // 256)
-    g = F.when(F.col("k") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.col("root"))
-    keyed = materialize(pairs.join(at, "a").select(g.alias("g"), F.pmod(F.xxhash64("a"), "k").alias("i"), F.pmod(F.xxhash64("b"), "k").alias("j"), "a", "b"))
-    needs = keyed.select("g", "i", "j", F.explode(F.array("a", "b")).alias("sig")).distinct()
-
-    def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {g: x.values.to_numpy().view(np.uint64) for g, x in zip(right["sig"].to_pylist(), right["set"], strict=True)}
-        shift = np.uint64(64 - (FRAGMENTS.bit_length() - 1))
-        out_a, out_b = [], []
-        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
-            x, y = held[a], held[b]
-            met = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
-            partial = np.bincount((met >> shift).astype(np.int64), minlength=FRAGMENTS)
-            overlap = int(partial.sum())
-            if 100 * overlap >= percent * (len(x) + len(y) - overlap):
-                out_a.append(a)
-                out_b.append(b)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    rows = needs.join(sets, "sig").toDF("sig", "g2", "i2", "j2", "set")
-    return keyed.groupBy("g", "i", "j").cogroup(rows.groupBy("g2", "i2", "j2")).applyInArrow(count, "a long, b long")
+def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """(key) of more than HOT rows and a share of 1 / HOT_KEYS: at most HOT_KEYS keys, fetched and sent on as a small table."""
+    spark = rows.sparkSession
+    found = rows.groupBy(key).count().where(F.col("count") > max(HOT, total // HOT_KEYS)).select(key).toArrow() if total > HOT else None
+    return spark.createDataFrame(found) if found is not None and found.num_rows else spark.createDataFrame([], f"{key} long")
+
+
+def _spread(rows: DataFrame, key: str, unique: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table whose `key` is unique; rows of hot keys stay where they are and meet a broadcast of their few partners."""
+    if hot.isEmpty():
+        return rows.join(unique, key, how)
+    few = F.broadcast(hot)
+    cold = rows.join(few, key, "left_anti").join(unique, key, how)
+    warm = rows.join(few, key, "left_semi").join(F.broadcast(unique.join(few, key, "left_semi")), key, how)
+    return cold.unionByName(warm)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, by neighbour minima and pointer jumping over written tables."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    both = links.select("a", "b").where("a != b")
+    edges = materialize(both.union(both.select("b", "a")).distinct())
+    total = edges.count()
+    hubs = _hot(edges, "b", total)
     roots = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
-        near = edges.join(roots, edges.b == roots.node).groupBy("a").agg(F.min("root").alias("m"))
-        step = roots.join(near, roots.node == near.a, "left").select("node", "root", F.least("root", "m").alias("next"))
-        jump = step.select(F.col("node").alias("via"), F.col("next").alias("far"))
-        moved = materialize(step.join(jump, step.next == jump.via, "left").select("node", F.col("root").alias("was"), F.least("next", "far").alias("root")))
+        near = _spread(edges, "b", roots.select(F.col("node").alias("b"), "root"), hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        step = materialize(roots.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", "m").alias("via")))
+        jump = step.select(F.col("node").alias("via"), F.col("via").alias("far"))
+        moved = materialize(_spread(step, "via", jump, _hot(step, "via", total), "left").select("node", "was", F.least("via", "far").alias("root")))
         changed = moved.where("was != root").limit(1).count()
+        discard(step, roots)
         roots = moved.select("node", "root")
+        roots.scratch = moved.scratch
         if not changed:
+            discard(edges)
             return roots
 
 
-def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of groups (g, sig): each member with the hub, then the unsettled with all, in blocks."""
-    rows = materialize(members.join(sets, "sig").select("g", "sig", "set", "shared"))
-    rows = rows.dropDuplicates(["g", "sig"])
-    hub = rows.groupBy("g").agg(F.max(F.struct("shared", F.size("set").alias("n"), "sig")).alias("h")).select("g", F.col("h.sig").alias("hub"))
-    hubs = hub.join(rows, [hub.g == rows.g, hub.hub == rows.sig]).select(hub.g, "hub", F.col("set").alias("hub_set"))
-    o = F.size(F.array_intersect("set", "hub_set"))
-    near = rows.join(hubs, "g").select("g", "sig", "hub", (o * 100 >= (F.size("set") + F.size("hub_set") - o) * percent).alias("linked"))
-    near = materialize(near)
-    star = near.where("linked and sig != hub").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
-    # members in blocks by hash, so that no block is known to hold more than its share of a group
-    sizes = near.groupBy("g").agg(F.count("*").alias("all"), F.sum((~F.col("linked")).cast("long")).alias("open"))
-    split = near.join(sizes, "g").withColumn("pn", F.ceil(F.col("open") / BLOCK)).withColumn("mn", F.ceil(F.col("all") / (4 * BLOCK)))
-    split = split.where("open > 0").withColumn("pb", F.pmod(F.xxhash64("sig"), "pn")).withColumn("mb", F.pmod(F.xxhash64("sig", F.lit(1)), "mn"))
-    probes = split.where("not linked").select("g", "sig", F.col("pb").alias("p"), F.explode(F.sequence(F.lit(0), F.col("mn") - 1)).alias("m"), F.lit(True).alias("probe"), F.lit(False).alias("linked"))
-    others = split.select("g", "sig", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("p"), F.col("mb").alias("m"), F.lit(False).alias("probe"), "linked")
-    work = probes.union(others).join(rows.select("g", "sig", "set"), ["g", "sig"])
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        t = {k: table.column(k) for k in ("sig", "set", "probe", "linked")}
-        mine = t["probe"].to_numpy(zero_copy_only=False).astype(bool)
-        sig = t["sig"].to_numpy()
-        arrays = [np.asarray(x.values.to_numpy(), np.int64) for x in t["set"]]
-        probe = np.flatnonzero(mine)
-        out_a, out_b = [], []
+def _linked(n: str | Column, m: str | Column, overlap: str | Column, percent: int) -> Column:
+    n, m, overlap = (F.col(x) if isinstance(x, str) else x for x in (n, m, overlap))
+    return overlap * 100 >= (n + m - overlap) * percent
+
+
+PARTIAL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("partial", pa.int64())])
+_PARTIAL = "a long, b long, na long, nb long, partial long"
+
+
+def _summed(partial: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose partial overlaps add up to a link."""
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap")).where(_linked("na", "nb", "overlap", percent)).select("a", "b")
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, of pairs(g, a, b, na, nb): partial overlaps by fragment, summed per pair.
+
+    Pairs of one g are counted together, so a set is sent once for all of them; a g of more
+    than SHINGLES shingles is cut into blocks of pairs, and small ones share a task.
+    """
+    members = pairs.select("g", F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("na").alias("n")), F.struct(F.col("b").alias("sig"), F.col("nb").alias("n")))).alias("x")).select("g", "x.*").distinct()
+    sizes = materialize(members.groupBy("g").agg(F.sum("n").alias("all")))
+    whole = sizes.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    large = sizes.select("g", F.ceil(F.col("all") / SHINGLES).alias("k")).where("k > 1")  # a small table: at most whole / SHINGLES rows
+    small = F.pmod(F.xxhash64("g"), F.lit(max(1, whole // SHINGLES)))
+    cut = _spread(pairs, "g", large, _hot(pairs, "g", pairs.count()), "left")
+    key = F.when(F.col("k").isNull(), F.xxhash64(small)).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("a"), "k"), F.pmod(F.xxhash64("b"), "k")))
+    keyed = materialize(cut.select(key.alias("task"), "a", "b", "na", "nb"))
+    needs = keyed.select("task", F.explode(F.array("a", "b")).alias("sig")).distinct()
+    right = needs.join(sets, "sig").select(F.col("task").alias("t2"), F.col("fragment").alias("f2"), "sig", "part")
+    left = keyed.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right["sig"].to_pylist(), (x.values.to_numpy().view(np.uint64) for x in right["part"]), strict=True))
+        a, b = left["a"].to_pylist(), left["b"].to_pylist()
+        found = np.zeros(len(a), np.int64)
+        none = np.zeros(0, np.uint64)
+        for i, (u, v) in enumerate(zip(a, b, strict=True)):
+            x, y = held.get(u, none), held.get(v, none)
+            if len(x) and len(y):
+                found[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+        return left.select(["a", "b", "na", "nb"]).append_column("partial", pa.array(found)).filter(pa.array(found > 0)).cast(PARTIAL)
+
+    partial = left.groupBy("task", "fragment").cogroup(right.groupBy("t2", "f2")).applyInArrow(count, _PARTIAL)
+    return materialize(_summed(partial, percent))
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each group: members(g, sig, n, part_of).
+
+    Those outside the group's largest component are compared with all of other components,
+    in blocks of one fragment each. Members are cut by size first, as sets link only with
+    sets of like size.
+    """
+    tally = members.groupBy("g", "part_of").agg(F.count("*").alias("many"))
+    tops = tally.groupBy("g").agg(F.max(F.struct("many", "part_of")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("g", F.col("top.part_of").alias("largest"))
+    tops = materialize(tops)
+    members = members.join(tops, "g", "left_semi") if tops.isEmpty() else _spread(members, "g", tops, _hot(members, "g", members.count()))
+    # sizes in classes whose bounds grow by 100 / percent: a link spans neighbouring classes at most
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    cell = lambda d: F.xxhash64("g", F.col("size") + F.lit(d))
+    if tops.isEmpty():
+        return members.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
+    rows = members.select("g", "sig", "n", "part_of", (F.col("part_of") != F.col("largest")).alias("probe"), size.alias("size"))
+    rows = materialize(rows.withColumn("cell", cell(0)))
+    blocks = rows.groupBy("cell").agg(F.ceil(F.sum(F.col("probe").cast("long")) / BLOCK).alias("pn"), F.ceil(F.count("*") / (4 * BLOCK)).alias("mn"))
+    blocks = materialize(blocks)
+    total = rows.count()
+    hot = _hot(rows, "cell", total)
+    # each probe block meets the member blocks of its own size class and the two beside it
+    near = lambda x: x.select("*", F.explode(F.array(*(F.struct(cell(d).alias("to"), F.lit(d).alias("d")) for d in (-1, 0, 1)))).alias("x")).select("*", "x.to", "x.d").drop("x")
+    to = lambda c: blocks.select(F.col("cell").alias("to"), c)
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    probes = near(_spread(rows.where("probe"), "cell", blocks.select("cell", "pn"), hot).withColumn("p", F.pmod(F.xxhash64("sig"), "pn")))
+    others = near(_spread(rows, "cell", blocks.select("cell", "mn"), hot).withColumn("m", F.pmod(F.xxhash64("sig", F.lit(1)), "mn")))
+    probes = _spread(probes, "to", to("mn"), _hot(probes, "to", total)).select("*", up_to("mn").alias("m")).select(F.xxhash64("cell", "p", "to", "m").alias("task"), "sig", "n", "part_of", F.lit(True).alias("probe"))
+    others = _spread(others, "to", to("pn").where("pn > 0"), _hot(others, "to", total)).select("*", up_to("pn").alias("p")).select(F.xxhash64("to", "p", "cell", "m").alias("task"), "sig", "n", "part_of", F.lit(False).alias("probe"))
+    open_ = rows.where("probe").select("sig").distinct().withColumn("open", F.lit(True))
+    work = probes.withColumn("open", F.lit(True)).unionByName(others.join(open_, "sig", "left").withColumn("open", F.coalesce("open", F.lit(False)))).join(sets, "sig")
+
+    def compare(table: pa.Table) -> pa.Table:
+        t = {k: table.column(k).to_numpy() for k in ("sig", "n", "part_of")}
+        probe = np.flatnonzero(table.column("probe").to_numpy(zero_copy_only=False).astype(bool))
+        open_ = table.column("open").to_numpy(zero_copy_only=False).astype(bool)
+        arrays = [x.values.to_numpy() for x in table.column("part")]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         if len(probe):
-            size = np.array([len(arrays[i]) for i in probe])
-            h = np.concatenate([arrays[i] for i in probe])
-            owner = np.repeat(np.arange(len(probe)), size)
+            held = np.array([len(arrays[i]) for i in probe])
+            h, owner = np.concatenate([arrays[i] for i in probe]), np.repeat(np.arange(len(probe)), held)
             o = np.argsort(h, kind="stable")
             h, owner = h[o], owner[o]
-            settled = t["linked"].to_numpy(zero_copy_only=False).astype(bool)
-            joined = np.zeros(len(probe), bool)  # a probe needs one link into the hub's component
-            for i in np.flatnonzero(~mine):
+            sig, n, part_of = (t[k][probe] for k in ("sig", "n", "part_of"))
+            others = np.ones(len(arrays), bool)
+            others[probe] = False
+            for i in np.flatnonzero(others):
                 x = arrays[i]
                 lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
-                n = hi - lo
-                use = n > 0
-                at = np.repeat(lo[use] - np.concatenate(([0], np.cumsum(n[use])[:-1])), n[use]) + np.arange(n[use].sum())
-                overlap = np.bincount(owner[at], minlength=len(probe)) if len(at) else np.zeros(len(probe), np.int64)
-                link = overlap * 100 >= (size + len(x) - overlap) * percent
-                link &= sig[probe] != sig[i]
-                if settled[i]:
-                    link &= ~joined
-                    joined |= link
-                else:
-                    link &= sig[probe] < sig[i]
-                for k in np.flatnonzero(link):
-                    out_a.append(sig[probe[k]])
-                    out_b.append(sig[i])
-            parent: dict = {}
-            keep = []
-            for a, b in zip(out_a, out_b, strict=True):  # a spanning forest of the block's links
-                ra, rb = a, b
-                while parent.get(ra, ra) != ra:
-                    ra = parent[ra]
-                while parent.get(rb, rb) != rb:
-                    rb = parent[rb]
-                if ra != rb:
-                    parent[ra] = rb
-                    keep.append((a, b))
-            out_a, out_b = [a for a, _ in keep], [b for _, b in keep]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    found = work.groupBy("g", "p", "m").applyInArrow(compare, "a long, b long")
-    return materialize(star.union(found))
-
-
-def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+                many = hi - lo
+                at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                overlap = np.bincount(owner[at], minlength=len(probe))
+                differ = held + len(x) - 2 * overlap  # at most this share of all may differ in a link
+                use = (overlap > 0) & (part_of != t["part_of"][i]) & ((100 + percent) * differ <= (100 - percent) * (n + t["n"][i]))
+                if open_[i]:
+                    use &= sig < t["sig"][i]
+                k = np.flatnonzero(use)
+                for c, v in zip(out, (sig[k], np.full(len(k), t["sig"][i]), n[k], np.full(len(k), t["n"][i]), overlap[k]), strict=True):
+                    c.append(v)
+        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], schema=PARTIAL)
+
+    partial = work.groupBy("task", "fragment").applyInArrow(compare, _PARTIAL)
+    return materialize(_summed(partial, percent))
+
+
+def _groups(members: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Tables of the links that join the components of groups; members(g, sig, n, shared)."""
+    links, alone = [], members
+    settled = None  # (sig, part_of)
+    for _ in range(HUBS):
+        hub = alone.groupBy("g").agg(F.max(F.struct("shared", "n", "sig")).alias("h"), F.count("*").alias("many")).where("many > 1").select("g", F.col("h.sig").alias("a"), F.col("h.n").alias("na"))
+        hub = materialize(hub)  # a row a group
+        total = alone.count()
+        pairs = _spread(alone, "g", hub, _hot(alone, "g", total)).where("sig != a").select("g", "a", F.col("sig").alias("b"), "na", F.col("n").alias("nb"))
+        found = _counted(pairs, sets, percent)
+        links.append(found)
+        star = found.select(F.col("b").alias("sig"), F.col("a").alias("part_of")).union(hub.select(F.col("a").alias("sig"), F.col("a").alias("part_of")))
+        settled = materialize(star if settled is None else settled.union(star))
+        alone = materialize(alone.join(settled.select("sig"), "sig", "left_anti"))
+        if alone.isEmpty():
+            break
+    apart = materialize(members.join(settled, "sig", "left").select("g", "sig", "n", F.coalesce("part_of", "sig").alias("part_of")))
+    return [*links, _across(apart, sets, percent)]
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+    """docs(doc_id, text) -> row (the column of that name; else 0), doc_id, n (size of the set), root (one value a component; 0 for empty sets), component_id."""
     spark = docs.sparkSession
-    classes = materialize(_classes(docs))
+    classes = materialize(_classes(docs, row, np.zeros(0, np.uint64)))
+    names = classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
+    names = materialize(names)
+    # names that two sets share: 2^-65 times the number of pairs of classes, so a few at 10^10 classes
+    shared = names.where("low != high").select("sig").toArrow()["sig"].to_numpy().astype(np.int64).view(np.uint64)
+    if len(shared):
+        discard(classes, names)
+        classes = materialize(_classes(docs, row, shared))
+        names = materialize(classes.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
     frequent = spark.sparkContext.broadcast(_frequent(docs, percent))
-    every = _postings(docs, frequent, percent).repartition("hash").dropDuplicates(["hash", "sig"])
-    shared = materialize(every.withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1"))
+    # one shuffle for all lists: those of frequent shingles, the only hot ones, are dealt by class as well
+    salt = F.when(F.col("place") < 0, F.pmod(F.xxhash64("sig"), F.lit(SALTS))).otherwise(0)
+    every = _postings(docs, frequent, shared, percent).withColumn("salt", salt.cast("int")).repartition("place", "salt").dropDuplicates(["place", "salt", "sig"])
+    w = Window.partitionBy("place", "salt")
+    near = materialize(every.select("place", "sig", "nl", F.count("*").over(w).alias("df"), F.min("sig").over(w).alias("low")).where("df > 1 or place < 0"))
+    lists = near.where("place < 0").groupBy("place").agg(F.sum(F.lit(1)).alias("df"), F.min("sig").alias("low")).where("df > 1")  # at most FREQUENT rows
+    often = near.where("place < 0").drop("df", "low").join(F.broadcast(lists), "place")
+    met = near.where("place >= 0").unionByName(often)
     size, last = F.shiftright("nl", 32), F.col("nl").bitwiseAND(F.lit(0xFFFFFFFF))
-    flat = shared.select("hash", "sig", "df", size.alias("n"), last.alias("last"))
-    a, b = (flat.where(F.col("df") <= DENSE).select("hash", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "last"))) for x in "ab")
+    flat = met.select("place", "sig", "df", "low", size.alias("n"), last.alias("last"))
+    a, b = (flat.where(F.col("df") <= DENSE).select("place", *(F.col(c).alias(f"{c}{x}") for c in ("sig", "n", "last"))) for x in "ab")
     fits = (F.col("siga") < F.col("sigb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    met = a.join(b, "hash").where(fits).groupBy("siga", "sigb", "na", "nb", "lasta", "lastb").agg(F.count("*").alias("c"))
+    pairs = a.join(b, "place").where(fits).groupBy("siga", "sigb", "na", "nb", "lasta", "lastb").agg(F.count("*").alias("c"))
     # a pair that shares a longer list too has more in common than c, but it is compared in that list's group
-    rest_a, rest_b = (F.expr(f"(n{n[1]} * {percent} + 99) div 100 - 1") for n in ("na", "nb"))
+    rest_a, rest_b = (F.expr(f"({n} * {percent} + 99) div 100 - 1") for n in ("na", "nb"))
     rest = F.when(F.col("lasta") < F.col("lastb"), rest_a).when(F.col("lasta") > F.col("lastb"), rest_b).otherwise(F.greatest(rest_a, rest_b))
-    pairs = materialize(met.where((F.col("c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("siga").alias("a"), F.col("sigb").alias("b")))
+    pairs = materialize(pairs.where((F.col("c") + rest) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("siga").alias("a"), F.col("sigb").alias("b"), "na", "nb"))
     long = flat.where(F.col("df") > DENSE)
-    grouped = None
+    members = None
     if not long.isEmpty():
-        low = long.groupBy("hash").agg(F.min("sig").alias("low"))
-        roots = components(long.join(low, "hash").select(F.col("low").alias("a"), F.col("sig").alias("b")))
-        share = flat.groupBy("sig").agg((F.count("*") / F.max("n")).alias("shared"))
-        grouped = materialize(roots.select(F.col("root").alias("g"), F.col("node").alias("sig")).join(share, "sig"))
+        roots = components(long.select(F.col("low").alias("a"), F.col("sig").alias("b")))
+        share = flat.groupBy("sig").agg((F.count("*") / F.max("n")).alias("shared"), F.max("n").alias("n"))
+        members = materialize(roots.select(F.col("root").alias("g"), F.col("node").alias("sig")).join(share, "sig"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-    if grouped is not None:
-        wanted = wanted.union(grouped.select("sig"))
-    ids = classes.join(wanted.distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialize(_sets(docs, materialize(ids)))
-    links = _verified(pairs, sets, percent)
-    if grouped is not None:
-        links = links.union(_blocks(grouped, sets, percent))
-    roots = components(materialize(links))
-    named = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    first = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("first"))
-    whole = named.join(first, "root", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+    if members is not None:
+        wanted = wanted.union(members.select("sig"))
+    ids = materialize(names.join(wanted.distinct(), "sig").select("sig", "doc_id"))
+    sets = materialize(_sets(docs, ids, frequent, shared))
+    # candidates are counted beside those of the smallest class that one of them meets
+    least = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g"))
+    links = _counted(pairs.join(least, "a").select("g", "a", "b", "na", "nb"), sets, percent)
+    if members is not None:
+        for more in _groups(members, sets, percent):
+            links = links.union(more)
+    roots = components(links)
+    named = names.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("root"))
+    named = materialize(named)
+    total = named.count()
+    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = materialize(_spread(named.select("sig", "root"), "root", first, _hot(named, "root", total)).select("sig", "root", "component_id"))
+    out = _spread(classes, "sig", of, _hot(classes.where("n > 0"), "sig", classes.count()), "left")
+    return out.select("row", "doc_id", "n", F.coalesce("root", F.lit(0)).alias("root"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id that links reach."""
+    return grouped(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(row) of one row of each component, that of the smallest doc_id, and of every row without words; rows(row, doc_id, text)."""
+    found = materialize(grouped(rows, percent, "row"))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    first = found.where("n > 0").groupBy("root").agg(F.min(order).alias("least")).select("least.row")
+    return first.union(found.where("n = 0").select("row"))
