@@ -371,9 +371,10 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the components of each group: members(g, sig, n, part_of).
 
-    Those outside the group's largest component are compared with all of other components,
-    in blocks of one fragment each. Members are cut by size first, as sets link only with
-    sets of like size.
+    Those outside the group's largest component are compared with all of other components
+    in blocks, fragment after fragment. Members are cut by size first, as sets link only with
+    sets of like size. Here a block adds the partial overlaps up itself and returns a spanning
+    forest: sent to a shuffle, those of near copies would be all pairs of a group.
     """
     tally = members.groupBy("g", "part_of").agg(F.count("*").alias("many"))
     tops = tally.groupBy("g").agg(F.max(F.struct("many", "part_of")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("g", F.col("top.part_of").alias("largest"))
@@ -398,40 +399,92 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     others = near(_spread(rows, "cell", blocks.select("cell", "mn"), hot).withColumn("m", F.pmod(F.xxhash64("sig", F.lit(1)), "mn")))
     probes = _spread(probes, "to", to("mn"), _hot(probes, "to", total)).select("*", up_to("mn").alias("m")).select(F.xxhash64("cell", "p", "to", "m").alias("task"), "sig", "n", "part_of", F.lit(True).alias("probe"))
     others = _spread(others, "to", to("pn").where("pn > 0"), _hot(others, "to", total)).select("*", up_to("pn").alias("p")).select(F.xxhash64("to", "p", "cell", "m").alias("task"), "sig", "n", "part_of", F.lit(False).alias("probe"))
-    open_ = rows.where("probe").select("sig").distinct().withColumn("open", F.lit(True))
-    work = probes.withColumn("open", F.lit(True)).unionByName(others.join(open_, "sig", "left").withColumn("open", F.coalesce("open", F.lit(False)))).join(sets, "sig")
+    work = probes.unionByName(others).join(sets, "sig")
 
     def compare(table: pa.Table) -> pa.Table:
-        t = {k: table.column(k).to_numpy() for k in ("sig", "n", "part_of")}
-        probe = np.flatnonzero(table.column("probe").to_numpy(zero_copy_only=False).astype(bool))
-        open_ = table.column("open").to_numpy(zero_copy_only=False).astype(bool)
-        arrays = [x.values.to_numpy() for x in table.column("part")]
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        if len(probe):
-            held = np.array([len(arrays[i]) for i in probe])
-            h, owner = np.concatenate([arrays[i] for i in probe]), np.repeat(np.arange(len(probe)), held)
-            o = np.argsort(h, kind="stable")
-            h, owner = h[o], owner[o]
-            sig, n, part_of = (t[k][probe] for k in ("sig", "n", "part_of"))
-            others = np.ones(len(arrays), bool)
-            others[probe] = False
-            for i in np.flatnonzero(others):
-                x = arrays[i]
-                lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
-                many = hi - lo
-                at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-                overlap = np.bincount(owner[at], minlength=len(probe))
-                differ = held + len(x) - 2 * overlap  # at most this share of all may differ in a link
-                use = (overlap > 0) & (part_of != t["part_of"][i]) & ((100 + percent) * differ <= (100 - percent) * (n + t["n"][i]))
-                if open_[i]:
-                    use &= sig < t["sig"][i]
-                k = np.flatnonzero(use)
-                for c, v in zip(out, (sig[k], np.full(len(k), t["sig"][i]), n[k], np.full(len(k), t["n"][i]), overlap[k]), strict=True):
-                    c.append(v)
-        return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], schema=PARTIAL)
-
-    partial = work.groupBy("task", "fragment").applyInArrow(compare, _PARTIAL)
-    return materialize(_summed(partial, percent))
+        probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+        fragment = table.column("fragment").to_numpy()
+        part, size = table.column("part").combine_chunks().flatten().to_numpy(), table.column("part").combine_chunks().value_lengths().to_numpy()
+        end = np.cumsum(size)
+        sides = []  # of the probes and of the others: signatures, sizes, components, the row of each fragment row
+        for side in (probe, ~probe):
+            at = np.flatnonzero(side)
+            sig, first, back = np.unique(table.column("sig").to_numpy()[at], return_index=True, return_inverse=True)
+            sides.append((sig, table.column("n").to_numpy()[at][first], table.column("part_of").to_numpy()[at][first], at, back))
+        (sig, n, own, at, back), (sig2, n2, own2, at2, back2) = sides
+        out_a, out_b = [], []
+        if len(sig) and len(sig2):
+            overlap, differ = np.zeros((len(sig), len(sig2)), np.int64), np.zeros((len(sig), len(sig2)), np.int64)
+            apart = own[:, None] == own2[None, :]
+            for f in range(FRAGMENTS):
+                use, use2 = fragment[at] == f, fragment[at2] == f
+                held, held2 = (np.bincount(x[y], size[z[y]], len(w)).astype(np.int64) for x, y, z, w in ((back, use, at, sig), (back2, use2, at2, sig2)))
+                rows, rows2 = (np.concatenate([part[end[i] - size[i] : end[i]] for i in z[y]] or [part[:0]]) for y, z in ((use, at), (use2, at2)))
+                met = overlaps(rows, np.repeat(back[use], size[at[use]]), len(sig), rows2, np.repeat(back2[use2], size[at2[use2]]), len(sig2))
+                overlap += met
+                differ += held[:, None] + held2[None, :] - 2 * met  # at most this share of all may differ in a link
+                apart |= (100 + percent) * differ > (100 - percent) * (n[:, None] + n2[None, :])
+                if apart.all():
+                    break
+            links = ~apart & (overlap * 100 >= (n[:, None] + n2[None, :] - overlap) * percent)
+            parent: dict = {}
+            for i, j in zip(*np.nonzero(links), strict=True):  # a spanning forest of the components that meet
+                x, y = own[i].item(), own2[j].item()
+                while parent.get(x, x) != x:
+                    parent[x] = parent.get(parent[x], parent[x])
+                    x = parent[x]
+                while parent.get(y, y) != y:
+                    parent[y] = parent.get(parent[y], parent[y])
+                    y = parent[y]
+                if x != y:
+                    parent[x] = y
+                    out_a.append(sig[i])
+                    out_b.append(sig2[j])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return materialize(work.groupBy("task").applyInArrow(compare, "a long, b long"))
+
+
+def overlaps(x: np.ndarray, of: np.ndarray, rows: int, y: np.ndarray, of2: np.ndarray, rows2: int) -> np.ndarray:
+    """How many values each row of one side shares with each of the other: x[k] belongs to row of[k].
+
+    Values that many rows of both sides hold are counted by matrix products, the others pair by pair.
+    """
+    u = np.intersect1d(x, y)
+    out = np.zeros((rows, rows2), np.int64)
+    if not len(u):
+        return out
+    place = lambda v: np.minimum(np.searchsorted(u, v), len(u) - 1)
+    i, j = place(x), place(y)
+    i, of, j, of2 = i[u[i] == x], of[u[i] == x], j[u[j] == y], of2[u[j] == y]
+    many, many2 = np.bincount(i, minlength=len(u)), np.bincount(j, minlength=len(u))
+    heavy = many * many2 > 4000
+    dense = np.flatnonzero(heavy)
+    column = np.full(len(u), -1)
+    for k in range(0, len(dense), 2048):
+        part = dense[k : k + 2048]
+        column[part] = np.arange(len(part))
+        m, m2 = np.zeros((rows, len(part)), np.float32), np.zeros((rows2, len(part)), np.float32)
+        use, use2 = column[i] >= 0, column[j] >= 0
+        m[of[use], column[i[use]]] = 1
+        m2[of2[use2], column[j[use2]]] = 1
+        out += np.rint(m @ m2.T).astype(np.int64)
+        column[part] = -1
+    light, light2 = ~heavy[i], ~heavy[j]
+    i, of, j, of2 = i[light], of[light], j[light2], of2[light2]
+    o = np.argsort(j, kind="stable")
+    j, of2 = j[o], of2[o]
+    low, count = np.searchsorted(j, i), many2[i]
+    ends = np.cumsum(count)
+    k = 0
+    while k < len(i):
+        done = ends[k - 1] if k else 0
+        stop = max(k + 1, int(np.searchsorted(ends, done + 4_000_000, "right")))
+        c = count[k:stop]
+        at = np.repeat(low[k:stop] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        out += np.bincount(np.repeat(of[k:stop], c) * rows2 + of2[at], minlength=rows * rows2).reshape(rows, rows2)
+        k = stop
+    return out
 
 
 def _groups(members: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:

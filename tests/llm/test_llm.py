@@ -357,3 +357,12 @@ def test_pipeline(spark):
     assert masked.count() == docs.count() and not masked.where("text rlike 'AKIA[A-Z0-9]{16}'").count()
     packed = corpus_pipeline.run(spark, sf)
     assert 100 < packed.select("doc_id").distinct().count() < 200 and pa.__version__
+
+
+def test_block_overlaps_against_brute_force():
+    rng = np.random.default_rng(5)
+    for top, n in ((30, 200), (3000, 60)):
+        a, b = ([np.unique(rng.integers(0, top, rng.integers(1, 40))) for _ in range(n)] for _ in "ab")
+        flat = lambda s: (np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s]), len(s))
+        got = ngram_join.overlaps(*flat(a), *flat(b))
+        assert all(got[i, j] == len(np.intersect1d(a[i], b[j])) for i in range(n) for j in range(n))
