@@ -85,5 +85,10 @@ def all_criteria(rules: dict, combination: str = "and") -> Column:
 
 def high_level(category: str | Column) -> Column:
     """Whether an analogy category is syntactic or semantic, by its prefix."""
-    c = _col(category)
-    return F.when(c.startswith("gram") | c.startswith("VB") | c.startswith("NN") | c.startswith("JJ"), "syntactic").otherwise("semantic")
+    return F.when(_col(category).startswith("gram"), "syntactic").otherwise("semantic")
+
+
+def part_of_speech(category: str | Column) -> Column:
+    """verb, noun or adjective, by the prefix of a pair of tags."""
+    c = F.upper(_col(category))
+    return F.when(c.startswith("VB"), "verb").when(c.startswith("NN"), "noun").otherwise("adjective")

@@ -7,20 +7,33 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vocabularies of up to so many words are broadcast.
+SMALL = 500_000
 
-def skipgrams(sentences: DataFrame, window: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, word, context) of each ordered pair within +-window positions; no shuffle."""
+
+def skipgrams(sentences: DataFrame, window: int, by: tuple[str, ...] = (), centres: DataFrame | None = None) -> DataFrame:
+    """(by, word, context) of each ordered pair within +-window positions; no shuffle. centres(word): a small table of the words wanted."""
     at = sentences.select(*by, "tokens", F.posexplode("tokens").alias("i", "word"))
+    if centres is not None:
+        at = at.join(F.broadcast(centres), "word", "left_semi")
     left = F.slice("tokens", F.greatest(F.col("i") - window + 1, F.lit(1)), F.least(F.col("i"), F.lit(window)))
     right = F.slice("tokens", F.col("i") + 2, F.lit(window))
     return at.select(*by, "word", F.explode(F.concat(left, right)).alias("context"))
 
 
 def skipgram_count(sentences: DataFrame, window: int, vocabulary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of vocabulary words, counted; positions count all words. Pairs are summed before the vocabulary joins."""
-    pairs = skipgrams(sentences, window, by).groupBy(*by, "word", "context").agg(F.count("*").alias("n"))
+    """Pairs of vocabulary words, counted; positions count all words.
+
+    A vocabulary of up to SMALL words is sent to the pairs, so only pairs of its words are
+    made and shuffled; beyond it pairs are summed first and then joined.
+    """
     v = vocabulary.select("word").distinct()
-    return pairs.join(v, "word", "left_semi").join(v.withColumnRenamed("word", "context"), "context", "left_semi")
+    context = v.withColumnRenamed("word", "context")
+    if v.limit(SMALL + 1).count() > SMALL:
+        pairs = skipgrams(sentences, window, by).groupBy(*by, "word", "context").agg(F.count("*").alias("n"))
+        return pairs.join(v, "word", "left_semi").join(context, "context", "left_semi")
+    pairs = skipgrams(sentences, window, by, v).join(F.broadcast(context), "context", "left_semi")
+    return pairs.groupBy(*by, "word", "context").agg(F.count("*").alias("n"))
 
 
 def offset_pairs(sentences: DataFrame, k: int) -> DataFrame:
@@ -99,6 +112,20 @@ def lognormal_pdf(x: Column, mu: Column, sigma: Column) -> Column:
     return F.exp(-z * z / 2) / (x * sigma * math.sqrt(2 * math.pi))
 
 
+def lognormal_kl(hist: DataFrame, scales: tuple[float, ...], epsilon: float = 1e-6) -> DataFrame:
+    """(word, scale, kl): the counts above zero, each bucket's lines plus one, against the fitted log-normal times each scale.
+
+    Every bucket from 0 to a word's largest one has a line more than counted, so no probability is 0.
+    """
+    top = hist.groupBy("word").agg(F.max("bucket").alias("top"))  # a row a word
+    every = top.select("word", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("bucket")).join(hist, ["word", "bucket"], "left").select("word", "bucket", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    fit = lognormal_fit(every, epsilon).join(every.groupBy("word").agg(F.sum("n").alias("total")), "word")
+    p = F.col("n") / F.col("total")
+    q = lognormal_pdf(F.col("bucket").cast("double"), F.col("mu"), F.col("sigma")) * F.col("scale")
+    rows = every.where("bucket > 0").join(F.broadcast(fit), "word").withColumn("scale", F.explode(F.array(*(F.lit(float(s)) for s in scales))))
+    return rows.groupBy("word", "scale").agg(F.sum(p * (F.log(p) - F.log(q))).alias("kl"))
+
+
 def skipgram_total(n_words: float, n_sentences: float, window: int) -> float:
     """Expected number of skip-grams: each word has 2L contexts, but for those cut off at line ends."""
     return n_words * 2 * window - (1 + window) * window * n_sentences

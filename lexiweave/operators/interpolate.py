@@ -7,20 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean_vector, subtract, total
+from ..storage import materialize
 from .linalg import canonical, cross, gram, least_squares, procrustes, project
 from .vocabulary import common, fill_zero, only_in
 
 
 def _map(source: DataFrame, target: DataFrame, method: str) -> np.ndarray:
     both = common(source, target)
-    st = cross(both, "source", "target")[0]
     if method == "procrustes":
-        return procrustes(st)
-    if method == "global":
-        return least_squares(gram(both, "source"), st)
-    if method == "cca":
-        return canonical(gram(both, "source"), gram(both, "target"), st)
-    raise ValueError(f"no method {method!r}; there are {', '.join(METHODS)}")
+        return procrustes(cross(both, "source", "target")[0])
+    if method not in METHODS:
+        raise ValueError(f"no method {method!r}; there are {', '.join(METHODS)}")
+    first = source.select(F.size("vector")).first()
+    d = first[0] if first else 0
+    g = gram(both.select(F.concat("source", "target").alias("vector")))  # all three products in one pass
+    ss, st, tt = g[:d, :d], g[:d, d:], g[d:, d:]
+    return least_squares(ss, st) if method == "global" else canonical(ss, tt, st)
 
 
 METHODS = ("global", "procrustes", "cca", "zero")
@@ -45,13 +47,12 @@ def frobenius(a: DataFrame, b: DataFrame) -> float:
     return float(np.sqrt(d.agg(F.coalesce(F.sum("e"), F.lit(0.0))).first()[0]))
 
 
-def consensus(models: list[DataFrame], steps: int = 20, enough: float = 0.23, least_change: float = 1e-15, keep=None) -> tuple[DataFrame, list[float]]:
+def consensus(models: list[DataFrame], steps: int = 20, enough: float = 0.23, least_change: float = 1e-15, keep=materialize) -> tuple[DataFrame, list[float]]:
     """Generalised Procrustes over the union vocabulary: rotate each model onto the mean, average by membership, normalise columns.
 
     Stops at an error of `enough` or less, or when it stops changing. Only d x d sums reach
-    the driver; keep(df) cuts lineage (a checkpoint) after each step.
+    the driver; keep(df) cuts lineage after each step, by a written table if not told otherwise.
     """
-    keep = keep or (lambda df: df)
     mean, errors = models[0], []
     for _ in range(steps):
         turned = [project(m, _map(m, mean, "procrustes")).select("word", "vector") for m in models]

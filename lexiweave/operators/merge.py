@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import add, normalize, sum_vector
+from ..storage import materialize
 from .linalg import cross, gram, low_rank_align, pca_basis, procrustes, project
 from .vocabulary import common, concat, join_all
 
@@ -51,9 +54,9 @@ def pca_bias(df: DataFrame, dim: int, bias: str = "ignore") -> DataFrame:
     return project(df, basis, shift=None if bias == "with" else mean)
 
 
-def autoencode(df: DataFrame, dim: int, linear: bool = True, with_bias: bool = True, batch: int = 64, steps: int = 500, rate: float = 0.05, seed: int = 0) -> DataFrame:
-    """Codes of a one-layer autoencoder, fitted by mini-batch gradients on a bounded sample of rows (20,000 by hash), applied to all."""
-    rows = df.orderBy(F.xxhash64("word")).limit(20_000).select("vector").toPandas()
+def autoencode(df: DataFrame, dim: int, linear: bool = True, with_bias: bool = True, batch: int = 64, steps: int = 500, rate: float = 0.05, seed: int = 0, sample: int = 20_000) -> DataFrame:
+    """Codes of a one-layer autoencoder, fitted by mini-batch gradients on at most `sample` rows (by hash), applied to all."""
+    rows = df.orderBy(F.xxhash64("word")).limit(sample).select("vector").toPandas()
     x = np.stack(rows["vector"]).astype(float)
     rng = np.random.default_rng(seed)
     w = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], dim))
@@ -113,16 +116,26 @@ def add_pair(x: DataFrame, y: DataFrame) -> DataFrame:
 PAIRWISE = {"add": add_pair, "linear": linear_transform, "pca": pca_pair}
 
 
-def fold(models: list[DataFrame], order: str = "sequential", strategy: str = "add", keep=None) -> DataFrame:
+def fold(models: list[DataFrame], order: str = "sequential", strategy: str = "add", keep=materialize) -> DataFrame:
     """Merge pair by pair: sequential (left fold), binary (queue), or min_error (the closest pair first).
 
-    keep(df) cuts lineage after each step (a checkpoint); None keeps plans lazy.
+    keep(df) cuts lineage after each step, by a written table if not told otherwise. Errors
+    of pairs are computed once.
     """
-    merge, keep = PAIRWISE[strategy], keep or (lambda df: df)
-    models = list(models)
+    merge = PAIRWISE[strategy]
+    models, errors = list(models), {}
+
+    def error(i: int, j: int) -> float:
+        pair = id(models[i]), id(models[j])
+        if pair not in errors:
+            errors[pair] = procrustes_error(models[i], models[j])
+        return errors[pair]
+
+    kept = list(models)  # ids stay those of live tables
     while len(models) > 1:
+        kept += models
         if order == "min_error":
-            i, j = min(((i, j) for i in range(len(models)) for j in range(i + 1, len(models))), key=lambda p: procrustes_error(models[p[0]], models[p[1]]))
+            i, j = min(((i, j) for i in range(len(models)) for j in range(i + 1, len(models))), key=lambda p: error(*p))
             y, x = models.pop(j), models.pop(i)
             models.insert(0, keep(merge(x, y)))
         elif order == "binary":
@@ -193,7 +206,10 @@ def tsne(df: DataFrame, dim: int = 2, initial: int = 50, perplexity: float = 30.
 
 
 def refactor(models: list[DataFrame], counts: DataFrame, dim: int, steps: int = 300, rate: float = 0.1, tol: float = 0.1, limit: int = 1500, seed: int = 0) -> DataFrame:
-    """One model fitted to all sub-models' targets: goal = -log(M^2 mean of exp(-w.c) weighted by counts), by adaptive gradients."""
+    """One model fitted to all sub-models' targets: goal = -log(M^2 mean of exp(-w.c) weighted by counts), by adaptive gradients.
+
+    Steps end when the largest error is below `tol`; a fit that does not get there warns with the error reached.
+    """
     words, xs = _matrices(models, limit)
     n = {r["word"]: r["n"] for r in counts.where(F.col("word").isin(words)).collect()}
     logs = np.log(np.array([n.get(w, 1) for w in words], float))
@@ -208,7 +224,7 @@ def refactor(models: list[DataFrame], counts: DataFrame, dim: int, steps: int =
     for _ in range(steps):
         s = sig(a @ b.T)
         e = s - aim
-        if np.abs(e).mean() < tol / 10:
+        if np.abs(e).max() < tol:
             break
         d = e * s * (1 - s)
         da, db = d @ b, d.T @ a
@@ -216,4 +232,6 @@ def refactor(models: list[DataFrame], counts: DataFrame, dim: int, steps: int =
         gb += db * db
         a -= rate * da / np.sqrt(ga)
         b -= rate * db / np.sqrt(gb)
+    else:
+        warnings.warn(f"not converged: the largest error is {np.abs(sig(a @ b.T) - aim).max():.3f}", stacklevel=2)
     return models[0].sparkSession.createDataFrame(pd.DataFrame({"word": words, "vector": a.tolist()}), "word string, vector array<double>")

@@ -9,9 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens whose pairs are held at a time.
+CHUNK = 20_000
+
 
 def sgns(sentences: list[list[str]], size: int = 50, window: int = 10, negative: int = 5, subsample: float = 1e-4, min_count: int = 5, epochs: int = 5, rate: float = 0.025, seed: int = 0, without: frozenset = frozenset(), cbow: bool = False) -> tuple[list[str], np.ndarray]:
-    """Words and vectors: skip-gram or CBOW with negative sampling, by batches of pairs."""
+    """Words and vectors: skip-gram or CBOW with negative sampling, by batches of pairs.
+
+    Sentences are read CHUNK tokens at a time, in an order of its own each epoch, so no more
+    pairs are held than those of a chunk. CBOW predicts a word from the mean of its context.
+    """
     words, counts = np.unique([w for s in sentences for w in s if w not in without], return_counts=True)
     keep = counts >= min_count
     words, counts = words[keep], counts[keep]
@@ -23,37 +30,67 @@ def sgns(sentences: list[list[str]], size: int = 50, window: int = 10, negative:
     stay = np.minimum(1, np.sqrt(subsample / share) + subsample / share) if subsample else np.ones(len(words))
     noise = np.cumsum(counts**0.75) / (counts**0.75).sum()
     a, b = (rng.random((len(words), size)) - 0.5) / size, np.zeros((len(words), size))
-    coded = [np.array([ids[w] for w in s if w in ids]) for s in sentences]
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    coded = [np.array([ids[w] for w in s if w in ids], np.int64) for s in sentences]
+    coded = [s for s in coded if len(s)]
     for epoch in range(epochs):
         lr = rate * max(1 - epoch / epochs, 0.1)
-        centre, context = [], []
-        for s in coded:
-            s = s[rng.random(len(s)) < stay[s]] if len(s) else s
-            for k in range(1, min(window, len(s) - 1) + 1):
-                near = rng.integers(1, window + 1, len(s) - k) >= k  # a random window, as weights by distance
-                x, y = s[:-k][near], s[k:][near]
-                centre += [x, y]
-                context += [y, x]
-        if not centre:
-            continue
-        x, y = np.concatenate(centre), np.concatenate(context)
-        if cbow:
-            x, y = y, x
-        o = rng.permutation(len(x))
-        for i in range(0, len(o), 512):
-            c, t = x[o[i : i + 512]], y[o[i : i + 512]]
-            n = np.searchsorted(noise, rng.random((len(c), negative)))
-            va, vt, vn = a[c], b[t], b[n]
-            gp = 1 - sig((va * vt).sum(1))
-            gn = -sig(np.einsum("id,ikd->ik", va, vn))
-            da = gp[:, None] * vt + np.einsum("ik,ikd->id", gn, vn)
-            np.add.at(b, t, lr * gp[:, None] * va)
-            np.add.at(b, n, lr * gn[:, :, None] * va[:, None])
-            np.add.at(a, c, lr * da)
+        held: list[np.ndarray] = []
+        size_held = 0
+        for k in rng.permutation(len(coded)):
+            held.append(coded[k][rng.random(len(coded[k])) < stay[coded[k]]])
+            size_held += len(held[-1])
+            if size_held >= CHUNK:
+                _learn(a, b, held, window, negative, noise, lr, rng, cbow)
+                held, size_held = [], 0
+        _learn(a, b, held, window, negative, noise, lr, rng, cbow)
     return list(words), a
 
 
+def _learn(a, b, held: list[np.ndarray], window: int, negative: int, noise: np.ndarray, lr: float, rng, cbow: bool) -> None:
+    """One pass over the pairs of some sentences; a: word vectors, b: output vectors, changed in place."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+    line = np.repeat(np.arange(len(held)), [len(s) for s in held])
+    reach = rng.integers(1, window + 1, len(flat))  # a random window, as weights by distance
+    centre, context = [], []
+    for k in range(1, min(window, len(flat) - 1) + 1):
+        same = line[:-k] == line[k:]
+        left, right = np.flatnonzero(same & (reach[:-k] >= k)), np.flatnonzero(same & (reach[k:] >= k))
+        centre += [left, right + k]
+        context += [left + k, right]
+    if not centre:
+        return
+    x, y = np.concatenate(centre), np.concatenate(context)  # places in flat
+    if cbow:
+        o = np.argsort(x, kind="stable")
+        x, y = x[o], y[o]
+        places, first = np.unique(x, return_index=True)
+        ends = np.append(first[1:], len(x))
+        order = rng.permutation(len(places))
+    else:
+        order = rng.permutation(len(x))
+    for i in range(0, len(order), 512):
+        use = order[i : i + 512]
+        if cbow:  # rows of contexts, and the centre each row belongs to
+            many = ends[use] - first[use]
+            rows = np.repeat(first[use] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            owner, words, target = np.repeat(np.arange(len(use)), many), flat[y[rows]], flat[places[use]]
+            va = np.zeros((len(use), a.shape[1]))
+            np.add.at(va, owner, a[words])
+            va /= many[:, None]
+        else:
+            words, target = flat[x[use]], flat[y[use]]
+            va = a[words]
+        n = np.searchsorted(noise, rng.random((len(use), negative)))
+        vt, vn = b[target], b[n]
+        gp = 1 - sig((va * vt).sum(1))
+        gn = -sig(np.einsum("id,ikd->ik", va, vn))
+        da = gp[:, None] * vt + np.einsum("ik,ikd->id", gn, vn)
+        np.add.at(b, target, lr * gp[:, None] * va)
+        np.add.at(b, n, lr * gn[:, :, None] * va[:, None])
+        np.add.at(a, words, lr * (da[owner] if cbow else da))
+
+
 def train_parts(parts: DataFrame, without: DataFrame | None = None, **kwargs) -> DataFrame:
     """(model_id, word, vector) of parts(part_id, tokens): each part is one task's model.
 
@@ -69,6 +106,14 @@ def train_parts(parts: DataFrame, without: DataFrame | None = None, **kwargs) ->
     return parts.select("part_id", "line_id", "tokens").groupBy("part_id").applyInPandas(fit, "model_id int, word string, vector array<double>")
 
 
+def shared_vocabulary(parts: DataFrame, min_count: int) -> DataFrame:
+    """parts with the tokens of one vocabulary only: the words with min_count in all parts together, so that sub-models share it."""
+    at = parts.select("part_id", "line_id", F.posexplode("tokens").alias("pos", "word"))
+    known = at.groupBy("word").count().where(F.col("count") >= min_count).select("word")
+    kept = at.join(known, "word", "left_semi").groupBy("part_id", "line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t"))
+    return kept.select("part_id", "line_id", F.transform("t", lambda x: x["word"]).alias("tokens"))
+
+
 def sweep(parts: DataFrame, grid: list[dict]) -> DataFrame:
     """One model for each part and cell of the grid of sgns parameters: (cell, model_id, word, vector)."""
     out = None

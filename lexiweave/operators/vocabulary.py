@@ -98,6 +98,11 @@ def upsert(embedding: DataFrame, rows: DataFrame) -> DataFrame:
     return embedding.join(rows.select("word"), "word", "left_anti").unionByName(rows)
 
 
+def remove(embedding: DataFrame, words: DataFrame) -> DataFrame:
+    """embedding without words(word)."""
+    return embedding.join(words.select("word").distinct(), "word", "left_anti")
+
+
 def append(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two embeddings with no word in common; a shared word is an error."""
     shared = a.join(b.select("word"), "word", "left_semi").select("word").first()

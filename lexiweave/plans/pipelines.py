@@ -24,12 +24,12 @@ def merged(models: DataFrame, parts: int, method: str = "concat", keep=None, **k
     if method == "pca":
         return merge.pca(models, parts, **kwargs)
     order, strategy = method.split("/")
-    return merge.fold([models.where(F.col("model_id") == i).select("word", "vector") for i in range(parts)], order, strategy, keep)
+    return merge.fold([models.where(F.col("model_id") == i).select("word", "vector") for i in range(parts)], order, strategy, **({"keep": keep} if keep else {}))
 
 
-def fidelity(lines: DataFrame, parts: int, strategy: str = "modulo", **kwargs) -> DataFrame:
-    """(part_id, kl): each part's word distribution against the whole corpus."""
-    words = lines.select("line_id", F.explode(tokens("line", True)).alias("word"))
+def fidelity(lines: DataFrame, parts: int, strategy: str = "modulo", whole: DataFrame | None = None, **kwargs) -> DataFrame:
+    """(part_id, kl): each part's word distribution against the whole corpus; whole(line): the same lines without numbers, if at hand."""
+    words = (lines if whole is None else whole).select(F.explode(tokens("line", True)).alias("word"))
     origin = distribution.to_distribution(vocabulary.word_count(words))
     divided = division.divide(lines, strategy, parts, **kwargs).select("part_id", F.explode(tokens("line", True)).alias("word"))
     return distribution.kl(vocabulary.word_count(divided, ("part_id",)), origin, ["word"], ("part_id",))
@@ -73,6 +73,48 @@ def subset_scores(models: DataFrame, subsets: DataFrame, pairs: DataFrame, metho
     return out
 
 
+def interpolated_merge(source: DataFrame, target: DataFrame, method: str = "global", strategy: str = "add") -> DataFrame:
+    """Each model's missing words predicted from the other, then the two merged over the union vocabulary."""
+    return merge.PAIRWISE[strategy](interpolate.interpolate(target, source, method), interpolate.interpolate(source, target, method))
+
+
+def extrinsic_scores(source: DataFrame, target: DataFrame, pairs: DataFrame, methods: tuple[str, ...] = interpolate.METHODS, strategy: str = "add") -> DataFrame:
+    """(run, benchmark, value): similarity of the two models merged after each method filled their gaps."""
+    rows = None
+    for m in methods:
+        got = evaluate.similarity(pairs, interpolated_merge(source, target, m, strategy)).select(F.lit(m).alias("run"), F.lit("similarity").alias("benchmark"), F.col("spearman").alias("value"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+def run_grid(lines: DataFrame, parts: int, pairs: DataFrame, strategies: list[str], methods: list[str], norms: list[bool], division_args: dict | None = None, **kwargs) -> DataFrame:
+    """(strategy, method, norm, value): each cell of the grid divided, trained, merged and scored by similarity.
+
+    Sub-models are trained once a strategy and written; cells are few, so they are a driver loop.
+    """
+    from ..functions.vectors import normalize
+    from ..storage import materialize
+
+    out = None
+    for strategy in strategies:
+        models = materialize(train_divided(lines, strategy, parts, (division_args or {}).get(strategy), **kwargs))
+        for cell in grid([strategy], methods, norms):
+            used = models.withColumn("vector", normalize("vector")) if cell["norm"] else models
+            got = evaluate.similarity(pairs, merged(used, parts, cell["method"])).select(*(F.lit(v).alias(k) for k, v in cell.items()), F.col("spearman").alias("value"))
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+def dropout_grid(embeddings: dict[str, DataFrame], vocabularies: dict[str, DataFrame], benchmarks: evaluate.Benchmarks) -> DataFrame:
+    """(model, vocabulary, benchmark, value): every benchmark restricted to each vocabulary(word), on each merged model restricted alike."""
+    out = None
+    for model, e in embeddings.items():
+        for name, words in vocabularies.items():
+            got = evaluate.evaluate_demanded(vocabulary.restrict(e, words), benchmarks, words, model).select(F.lit(model).alias("model"), F.lit(name).alias("vocabulary"), "benchmark", "value")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
 def grid(strategies: list[str], methods: list[str], norms: list[bool]) -> list[dict]:
     """Every cell of the configuration grid."""
     return [{"strategy": s, "method": m, "norm": n} for s in strategies for m in methods for n in norms]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import high_level
+from ..functions.text import high_level, part_of_speech, standardize
 
 
 def _pairs(spark: SparkSession, path: str, sep: str, header: bool, w1: int = 0, w2: int = 1, score: int = 2) -> DataFrame:
@@ -49,7 +49,24 @@ def rare_words(spark, path):
 
 
 def simlex999(spark, path):
-    return _pairs(spark, path, "\t", True, 0, 1, 3)
+    """With the pairs' part of speech, concreteness, association and deviation, as published."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    c = rows.columns
+    out = [F.col(f"`{c[0]}`").alias("w1"), F.col(f"`{c[1]}`").alias("w2"), F.col(f"`{c[3]}`").try_cast("double").alias("score"), F.col(f"`{c[2]}`").alias("pos")]
+    names = {4: "concreteness1", 5: "concreteness2", 6: "concreteness_quartile", 7: "association", 8: "associated", 9: "sd"}
+    return rows.select(*out, *(F.col(f"`{c[i]}`").try_cast("double").alias(n) for i, n in names.items() if i < len(c)))
+
+
+#: The subsets of WS353 that are published as files of their own: fixed values.
+WS353_SUBSETS = ("all", "relatedness", "similarity", "set1", "set2")
+
+
+def ws353_subset(spark, folder: str, which: str = "all"):
+    """One of WS353_SUBSETS, from `<which>.csv` in the folder; the two halves without judges are tab-separated."""
+    if which not in WS353_SUBSETS:
+        raise ValueError(f"no subset {which!r}; there are {', '.join(WS353_SUBSETS)}")
+    path = f"{folder}/{which}.csv"
+    return _pairs(spark, path, "\t", False).withColumn("sd", F.lit(None).cast("double")) if which in ("relatedness", "similarity") else ws353(spark, path)
 
 
 def multilingual_simlex(spark, path):
@@ -74,8 +91,10 @@ def google_analogy(spark, path):
 
 
 def msr_analogy(spark, path):
-    w = F.split("value", " ")
-    return spark.read.text(path).select(w[0].alias("a"), w[1].alias("b"), w[2].alias("c"), w[4].alias("answer"), w[3].alias("category"), high_level(w[3]).alias("category_high"))
+    """Four words with a pair of tags before the last; words are standardised."""
+    w = F.split(F.trim("value"), r"\s+")
+    words = [standardize(w[i]).alias(n) for i, n in ((0, "a"), (1, "b"), (2, "c"), (4, "answer"))]
+    return spark.read.text(path).where(F.trim("value") != "").select(*words, w[3].alias("category"), part_of_speech(w[3]).alias("category_high"))
 
 
 def semeval_2012_2(spark, golden, questions):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-#: Documents whose ids share this many-wide range are numbered together.
-RANGE = 4096
+#: Ranges of ids, about equally full, that are numbered apart.
+RANGES = 200
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -19,17 +19,27 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(line_id, doc_id, pos, line): lines numbered from 0 by (doc_id, pos), without a global sort.
 
-    Line counts are summed by range of ids, the ranges (few) are summed up in one task,
-    and each range is numbered in its own.
+    Only ids, text hashes and line counts are ranged and numbered: quantiles of the ids cut
+    them into RANGES, whose line counts are summed up (RANGES rows). The texts meet their
+    first number by a join. Null ids come last; rows of one id go by the text's hash; a null
+    text has no lines.
     """
-    counts = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"), F.floor(F.col("doc_id") / RANGE).alias("range"))
-    ranges = counts.groupBy("range").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lead"))
-    within = Window.partitionBy("range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = docs.withColumn("range", F.floor(F.col("doc_id") / RANGE)).join(ranges, "range")
-    starts = starts.withColumn("start", F.col("lead") + F.coalesce(F.sum(F.size(F.split("text", "\n")).cast("long")).over(within), F.lit(0)))
-    return starts.select("doc_id", "start", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select((F.col("start") + F.col("pos")).alias("line_id"), "doc_id", "pos", "line")
+    name = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key")
+    rows = docs.where(F.col("text").isNotNull())
+    counts = rows.select("doc_id", name, (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n"))
+    starts = counts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / RANGES for i in range(1, RANGES)], 0.002)))
+    at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0))
+    starts = starts.withColumn("range", at.cast("int"))
+    ranges = starts.groupBy("range").agg(F.sum(F.col("n") * F.col("copies")).alias("all"))
+    lead = ranges.select("range", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lead"))  # RANGES rows
+    within = Window.partitionBy("range").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.join(F.broadcast(lead), "range").withColumn("start", F.col("lead") + F.coalesce(F.sum(F.col("n") * F.col("copies")).over(within), F.lit(0)))
+    texts = rows.select("doc_id", "text", name)
+    if not starts.where("copies > 1").isEmpty():
+        texts = texts.dropDuplicates(["key"])
+    whole = texts.join(starts.select("key", "start", "n", "copies"), "key").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return whole.select("doc_id", (F.col("start") + F.col("copy") * F.col("n")).alias("start"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select((F.col("start") + F.col("pos")).alias("line_id"), "doc_id", "pos", "line")
 
 
 def line_sentences(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import normalize
@@ -31,13 +31,24 @@ def read_hadoop(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_word2vec_text(spark: SparkSession, path: str) -> DataFrame:
-    """A header `V D`, then a word (with one space at most) and D numbers; other lines are skipped."""
-    rows = _lines(spark, path).withColumn("p", F.split(F.trim("value"), " "))
+    """A header `V D` in the file, or in one file of its folder, then words (with one space at most) and D numbers; other lines are skipped.
+
+    A folder without a header, or with more words than it states, is an error.
+    """
+    rows = _lines(spark, path).withColumn("p", F.split(F.trim("value"), " ")).withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
     header = rows.where((F.size("p") == 2) & F.col("p")[0].rlike("^[0-9]+$") & F.col("p")[1].rlike("^[0-9]+$"))
-    dims = header.groupBy("file").agg(F.max(F.col("p")[1].cast("int")).alias("d"))  # a row a file
-    body = rows.where(F.size("p") > 2).join(F.broadcast(dims), "file").where((F.size("p") == F.col("d") + 1) | (F.size("p") == F.col("d") + 2))
+    heads = header.groupBy("folder", "file").agg(F.max(F.col("p")[0].cast("long")).alias("v"), F.max(F.col("p")[1].cast("int")).alias("d"))
+    body = rows.where(F.size("p") > 2).join(F.broadcast(heads.select("file", "d")), "file", "left")  # a row a file
+    shared = heads.groupBy("folder").agg(F.max("d").alias("folder_d"))
+    body = body.join(F.broadcast(shared), "folder", "left").withColumn("d", F.coalesce("d", "folder_d"))
     extra = F.size("p") - F.col("d")
-    return body.select("file", F.array_join(F.slice("p", 1, extra), " ").alias("word"), _numbers(F.slice("p", extra + 1, F.col("d"))).alias("vector")).where(F.forall("vector", lambda x: x.isNotNull()))
+    words = body.where(extra.isNull() | extra.isin(1, 2)).select("folder", "file", "d", F.array_join(F.slice("p", 1, extra), " ").alias("word"), _numbers(F.slice("p", extra + 1, F.col("d"))).alias("vector"))
+    words = words.where(F.col("d").isNull() | F.forall("vector", lambda x: x.isNotNull()))
+    stated = heads.groupBy("folder").agg(F.sum("v").alias("v"))
+    wrong = words.groupBy("folder").agg(F.count("*").alias("n")).join(F.broadcast(stated), "folder", "left").where("v is null or n > v").first()
+    if wrong:
+        raise ValueError(f"{wrong['folder']}: " + ("no header" if wrong["v"] is None else f"{wrong['n']} words, {wrong['v']} in the header"))
+    return words.select("file", "word", "vector")
 
 
 def read_word2vec_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +82,31 @@ def from_dict(spark: SparkSession, vectors: dict) -> DataFrame:
     return spark.createDataFrame([(w, [float(x) for x in v]) for w, v in vectors.items()], "word string, vector array<double>")
 
 
+def from_counts(spark: SparkSession, counts: DataFrame, vectors: DataFrame, standardize: bool = True) -> DataFrame:
+    """A model's vocabulary counts(word, n) with its vectors: by falling count the first row of each (standardised) word."""
+    from ..functions.text import standardize as form
+
+    rows = vectors.join(counts, "word").withColumn("form", form("word", False) if standardize else F.col("word"))
+    w = Window.partitionBy("form").orderBy(F.desc("n"), "word")
+    first = rows.where("form != ''").withColumn("r", F.row_number().over(w)).where("r = 1")
+    return first.select(F.col("form").alias("word"), "vector", "n")
+
+
+def read_pickle(spark: SparkSession, path: str) -> DataFrame:
+    """A pickled dict of vectors, or a pair (vocabulary, vectors): one local file of the user's own, as pickles run code."""
+    import pickle
+
+    with open(path, "rb") as f:
+        stored = pickle.load(f)
+    if not isinstance(stored, dict):
+        words, vectors = stored
+        stored = dict(zip(words, vectors, strict=True))
+    return from_dict(spark, stored)
+
+
 READERS = {
     "csv": read_csv, "hadoop": read_hadoop, "word2vec": read_word2vec_text, "word2vec_bin": read_word2vec_binary, "glove": read_glove,
-    "parquet": lambda spark, path: spark.read.parquet(path), "dict": from_dict,
+    "parquet": lambda spark, path: spark.read.parquet(path), "dict": from_dict, "pickle": read_pickle,
 }
 
 
@@ -89,6 +122,12 @@ def load(spark: SparkSession, path, form: str, norm: bool = False, standardize:
     return df.withColumn("vector", normalize("vector")) if norm else df
 
 
+def with_counts(df: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """df, a word at most once, with the counts of vocabulary(word, count) where there is one."""
+    rows = checked_unique(df)
+    return rows if vocabulary is None else rows.join(vocabulary.select("word", "count"), "word", "left")
+
+
 def checked_unique(df: DataFrame) -> DataFrame:
     """df, or an error that names a word it has twice."""
     twice = df.groupBy("word").count().where("count > 1").select("word").first()
@@ -114,7 +153,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_word2vec_text(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Part files of `word v1 v2` with 15 decimals; a header line in a part of its own."""
+    """Part files of `word v1 v2` with 15 decimals; the folder's header line is in a part of its own."""
     d = df.select(F.size("vector")).first()
     head = df.sparkSession.createDataFrame([(f"{df.count()} {d[0] if d else 0}",)], "value string")
     body = df.select(F.concat_ws(" ", "word", F.array_join(F.transform("vector", lambda x: F.format_string("%.15f", x)), " ")).alias("value"))

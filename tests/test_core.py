@@ -63,6 +63,13 @@ def test_joins_and_splits(spark):
         W.append(a, b)
 
 
+def test_numbered_lines(spark):
+    docs = spark.createDataFrame([(5, "a\nb"), (5, "a\nb"), (-3, "x"), (10**15, "y\n"), (7, None), (None, "z")], "doc_id long, text string")
+    got = rows(C.numbered_lines(docs), "line_id", "line")
+    assert got == [(0, "x"), (1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "y"), (6, ""), (7, "z")]
+    assert C.numbered_lines(docs.where("false")).count() == 0
+
+
 def test_purity_and_standardise(spark):
     df = spark.createDataFrame(list(zip([1, 1, 2, 2, 3], [2, 2, 2, 2, 1], strict=True)), "cluster int, predicted int")
     assert abs(E.purity(df).first()[0] - 0.6) < 1e-12
@@ -83,7 +90,13 @@ def test_readers_and_writers(spark, tmp_path):
     got = [SV.load(spark, f"{tmp_path}/{p}", f, **k) for p, f, k in (("t1", "word2vec", {}), ("b.bin", "word2vec_bin", {}), ("c", "csv", {}), ("h", "hadoop", {}), ("g", "glove", {"dim": 2}))]
     for g in got:
         assert rows(g, "word", "vector") == want
-    assert spark.read.text(f"{tmp_path}/t").count() == 4
+    assert rows(SV.load(spark, f"{tmp_path}/t", "word2vec"), "word", "vector") == want
+    for bad in ("a 1 2\nb 2 3\n", "1 2\na 1 2\nb 2 3\n"):
+        (tmp_path / "bad").write_text(bad)
+        with pytest.raises(ValueError):
+            SV.read_word2vec_text(spark, f"{tmp_path}/bad")
+    (tmp_path / "msr").write_text("Good better rough JJ_JJR rougher\nsee saw eat VB_VBD ate\n")
+    assert rows(B.msr_analogy(spark, f"{tmp_path}/msr"), "a", "answer", "category_high") == [("good", "rougher", "adjective"), ("see", "ate", "verb")]
     wide = SV.from_dict(spark, {"a": [1, 2, 3, 4]})
     assert rows(SV.slices(wide, 2), "model_id", "vector") == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
     (tmp_path / "w.xml").write_text("<wiki><page><title>T</title><revision><text>A [[b|c]] {{x}} 'd'!</text></revision></page></wiki>")
