@@ -716,4 +716,6 @@ def evaluate_everything(spark, d):
 
 @query()
 def configuration_grid(spark, d):
-    return P.run_grid(lines(spark, d), 2, pairs(spark, d), ["modulo"], ["concat", "sequential/add"], [False, True], size=8, window=2, min_count=20, epochs=1)
+    v = W.with_ids(W.most_frequent(wc(spark, d), TOP)).select("word", "word_id")
+    near = v.select(F.col("word").alias("w1"), F.col("word_id").alias("i")).join(v.select(F.col("word").alias("w2"), (F.col("word_id") - 1).alias("i")), "i")
+    return P.run_grid(lines(spark, d), 2, near.select("w1", "w2", (F.col("i") % 10).cast("double").alias("score")), ["modulo"], ["concat", "sequential/add"], [False, True], size=8, window=2, min_count=20, epochs=1)
