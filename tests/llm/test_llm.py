@@ -269,9 +269,27 @@ def test_secrets(spark):
     many = spark.createDataFrame([*natural, (99, f"key {key} end"), (100, "aaaaaaaaaaaaaaaaaaaaaaaa1111111")], "doc_id long, text string")
     spans = {r["doc_id"]: r["spans"] for r in secrets.scan(many).collect()}
     assert spans[99] == "random:4:36" and not any(spans[i] for i in range(40)) and spans[100] == "hex:0:31"
+    # every candidate is tested: long keys of letters alone are found, copies of one string shape nothing
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 120))
+    copied = spark.createDataFrame([(i, "donaudampfschifffahrtsgesellschaften") for i in range(200)] + [(999, letters)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(copied).collect()}
+    assert spans[999] == "random:0:120" and not any(spans[i] for i in range(200))
+    x = "token=abcdef1 " * 5000
+    got = secrets.scan(spark.createDataFrame([(1, x)], "doc_id long, text string")).first()
+    assert got["n_assign"] == 5000 and got["spans"].endswith(f"assign:{14 * 4999}:{14 * 5000 - 1}")
+    assert secrets.redact(spark.createDataFrame([(1, x + "é")], "doc_id long, text string")).first()["text"] == "[SECRET] " * 5000 + "é"
     assert {r["doc_id"]: r["text"] for r in secrets.redact(d).collect()}[1].startswith("é [SECRET]\" and token:x")
 
 
+def test_secret_battery_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    names = [(k, "".join(rng.choice(list(a), 40))) for k, (_, _, a) in enumerate(secrets.ENCODINGS)] + [(9, "ProjectPlan2020FinalVersion3OfTheReport"), (0, "1" * 30)]
+    rows = spark.createDataFrame(names, "k int, s string").select("k", "s", secrets.distance(F.col("s"), F.col("k")).alias("d"), secrets.encoding(F.col("s")).alias("e")).collect()
+    for r in rows:
+        assert abs(r["d"] - secrets.string_distance(r["s"], secrets.ENCODINGS[r["k"]][2])) < 1e-6 * max(1, r["d"])
+        assert all(c in secrets.ENCODINGS[r["e"]][2] for c in r["s"])
+
+
 def test_licenses(spark):
     t = ["Hello.\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.", "He renewed his driving license before the trip.", None]
     got = [r["licenses"] for r in licenses.scan(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()]
