@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -140,6 +141,18 @@ def test_media_round_trip_and_damage():
         assert info["ok"] and t["codec"] == "raw" and t["n_samples"] == len(got) // 576 and all(k["size"] == 576 for k in t["keyframes"])
         assert media.digest(text)[2] == hashlib.sha256(got).hexdigest() and media.digest(text)[3] == zlib.crc32(got[-32:])
     assert not media.probe(None)["ok"] and not media.probe(m[:300])["ok"] and not media.probe(b"junk")["ok"]
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    tables = media.full(b"stsz", 0, 0, struct.pack(">II", 7, 2**32 - 1)) + media.full(b"stts", 0, 0, struct.pack(">III", 1, 2**32 - 1, 1))
+    false = media.box(b"ftyp", b"isom") + media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", tables)))))
+    assert not media.probe(deep)["ok"] and not media.probe(false)["ok"]
+    rng = np.random.default_rng(0)
+    for _ in range(1500):  # any bytes give an answer
+        x = bytearray(m)
+        for i in rng.integers(0, 700, rng.integers(1, 6)):
+            x[i] = rng.integers(0, 256)
+        assert media.probe(bytes(x[: rng.integers(1, len(x) + 1)]))["ok"] in (True, False)
     # a fragmented file: two samples of 5 and 7 bytes, the first a keyframe
     trak = media.box(b"trak", media.full(b"tkhd", 0, 3, struct.pack(">IIIII", 0, 0, 1, 0, 0), bytes(52), bytes(8)), media.box(b"mdia", media.full(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 10, 0), bytes(4))))
     moov = media.box(b"moov", trak, media.box(b"mvex", media.full(b"trex", 0, 0, struct.pack(">IIIII", 1, 1, 2, 0, 0x10000))))
@@ -154,12 +167,11 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = np.random.default_rng(1)
     docs = {i: " ".join(rng.choice(["alpha", "beta,", "x\ny", "über", "  ", "<|endoftext|>"], rng.integers(0, 900))) for i in range(120)}
     docs[200] = "hot words here " * 300
     table = spark.createDataFrame([*docs.items()], "doc_id long, text string")
-    got = packing.pack_documents(table, tokenizer("byte_bpe_50k.json")).toPandas()
+    got = packing.pack_documents(table, tokenizer("byte_bpe_50k.json"), encode_special_tokens=False).toPandas()
     for i, x in docs.items():
         ids = [*t.encode(x, add_special_tokens=False).ids, 1]
         p = got[got.doc_id == i].sort_values("start")
@@ -238,6 +250,85 @@ def test_maximal_segments_against_brute_force():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == [(a, b) for a, b, _ in brute(s, 0, len(s))]
 
 
+def test_maximal_segments_in_linear_time():
+    rng = np.random.default_rng(1)
+    for s in (rng.normal(-0.3, 1, 400_000), rng.normal(0.01, 1, 400_000), np.tile([1.0, -1.5], 200_000), np.tile([1.5, -1.0], 200_000)):
+        began = time.process_time()
+        toxicity.maximal_segments(s[:50_000])
+        short = time.process_time() - began
+        began = time.process_time()
+        toxicity.maximal_segments(s)
+        assert time.process_time() - began < 40 * short + 1  # a quadratic scan would take 64 times as long, and minutes
+    s = np.concatenate((np.tile([2.0, -1.0], 3), [-20.0], [1.0]))
+    assert toxicity.maximal_segments(s) == [(0, 5, 4.0), (7, 8, 1.0)]
+
+
+def test_long_runs_have_the_ids_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), packing.Encoder(tokenizer("byte_bpe_50k.json"), False)
+    n = 10_000_000
+    for x in (" " * 1_500_000, "\n" * 1_500_000, "a" + " " * 50_000 + "b  \n" + "\t" * 3000 + "\n c", "x" * 200_000, "\u3000" * 3000 + "y", "\x1c\x85 " * 2000 + "z", "7" * 100_000, "é!" * 50_000, " \n" * 5000 + "<|endoftext|>" + " " * 4000):
+        assert np.frombuffer(encode([x])[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    for x in (" " * n, "\n" * n, "a" * n):
+        assert len(encode([x])[0]) > 0
+
+
+def test_quality_verdicts_and_risk(spark, tmp_path):
+    # the chosen cutoffs lose more than RISK of a stratum's good documents no more often than DELTA
+    rng = np.random.default_rng(4)
+    worse = 0
+    for _ in range(400):
+        lost = np.sort(rng.uniform(0, 0.12, 6))  # true shares lost after each step of a path
+        counts = np.diff(np.concatenate(([0], (rng.random(300)[:, None] < lost).sum(0))))
+        steps = quality.passed(counts.tolist(), 300, quality.DELTA)
+        worse += steps > 0 and lost[steps - 1] > quality.RISK
+    assert worse / 400 < quality.DELTA + 0.03
+    assert quality.path([[0, 0, 5], [1, 9, 9]], [[0, 4, 6], [30, 31, 31]]) == [(1, 0), (0, 1)]
+    # op10 against a plain reading of its columns, on documents of two strata, one with labels enough
+    text = {True: " ".join(f"word{i}" for i in range(60)), False: " ".join(f"wor#{i}" for i in range(60))}
+    rows = [(i, text[i % 3 > 0], "en" if i < 900 else "xx") for i in range(930)] + [(None, None, None), (2000, "x " * 100, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(930)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    from lexiweave.llm.queries import op10_quality_rules
+
+    got = op10_quality_rules(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is None or r["doc_id"] == 2000:
+            assert r["base_failed"] and not r["kept"]
+        else:
+            assert not r["base_failed"] and r["kept"] == (r["doc_id"] % 3 > 0) and r["guarantee"] == ("stratum" if r["doc_id"] < 900 else "pooled")
+
+
+def test_languages_of_the_query_against_brute_force(spark, tmp_path):
+    from lexiweave.llm.queries import op9_language_id
+
+    docs = [(i, *x) for i, x in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chien et le chat", "fr"), ("123", "en"), (None, "de"), ("the end", None)] * 12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    by: dict = {}
+    for i, x, lang in docs:
+        if x and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in re.findall("[a-z]+", x.lower()):
+                p = f" {w} "
+                by.setdefault(lang, Counter()).update([*w, *(p[k : k + 2] for k in range(len(p) - 1)), *(p[k : k + 3] for k in range(len(p) - 2))])
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    rank = {name: {g: r for r, (g, _) in enumerate(sorted(c.items(), key=lambda kv: (-kv[1], code(kv[0]))))} for name, c in by.items()}
+    for r in op9_language_id(spark, str(tmp_path)).collect():
+        x = docs[r["doc_id"]][1]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not x or x == "123":
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        c = Counter()
+        for w in x.split():
+            p = f" {w} "
+            c.update([*w, *(p[k : k + 2] for k in range(len(p) - 1)), *(p[k : k + 3] for k in range(len(p) - 2))])
+        own = [g for g, _ in sorted(c.items(), key=lambda kv: (-kv[1], code(kv[0])))]
+        far = {name: sum(abs(k - q[g]) if g in q else language.PROFILE for k, g in enumerate(own)) for name, q in rank.items()}
+        assert r["lang_pred"] == min(sorted(far), key=far.get)
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(0)
     words = [f"word{i}" for i in range(300)]
@@ -361,6 +452,30 @@ def test_quality_uses_all_labels(spark):
     assert 0.007 < quality.upper_bound(70_000, 10_000_000, 1e-4) < 0.0072
 
 
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    texts = [(1, same), (2, same), (2, other), (3, None), (4, ""), (5, "12 34"), (None, "lone words of an unnamed row"), (6, "wort " * 40_000), (7, "password=abcdef123 in a text"), (8, "password=abcdef123 in a text"), (9, "tie tie tie")]
+    extra = [(i, t, "en", "s", 1, "a", 0.5, 1, "und", True, "x", 3) for i, t in texts]
+    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, n string, score double, predicted int, lang_pred string, held_out boolean, kept string, row int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i == 9)) for i in range(1, 10)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    known = corpus_pipeline.known_language(spark, docs, str(tmp_path))
+    assert known.columns == docs.columns and sorted(r["text"] for r in known.collect()) == sorted(t for _, t in texts if t and re.search("[a-z]", t))
+    one = corpus_pipeline.one_of_near_copies(spark, docs, str(tmp_path))
+    stay = sorted((str(r["doc_id"]), r["text"] or "") for r in one.collect())
+    assert one.columns == docs.columns and stay == sorted((str(i), t or "") for i, t in texts if (i, t) not in ((2, same), (8, "password=abcdef123 in a text")))
+    assert corpus_pipeline.mask_secrets(spark, docs, str(tmp_path)).columns == docs.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() > 0
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
