@@ -239,7 +239,7 @@ def _postings(docs: DataFrame, frequent, shared: np.ndarray, percent: int) -> Da
 
 
 def _sets(docs: DataFrame, ids: DataFrame, frequent, shared: np.ndarray) -> DataFrame:
-    """(sig, fragment, part) of the classes in ids(doc_id, sig), read anew from the texts; part: places in the order, ascending.
+    """(sig, places, cut) of the classes in ids(doc_id, sig), read anew from the texts; cut: where each fragment of the ascending places starts, and their end.
 
     A Bloom filter of BITS bits, whatever the input's size, spares most other documents.
     """
@@ -251,7 +251,7 @@ def _sets(docs: DataFrame, ids: DataFrame, frequent, shared: np.ndarray) -> Data
     if got.num_rows:
         bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     bc = spark.sparkContext.broadcast(bits)
-    schema = pa.schema([("sig", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
+    schema = pa.schema([("sig", pa.int64()), ("places", pa.list_(pa.int64())), ("cut", pa.list_(pa.int32()))])
 
     def run(it):
         words, often, done = bc.value, frequent.value, set()
@@ -263,24 +263,22 @@ def _sets(docs: DataFrame, ids: DataFrame, frequent, shared: np.ndarray) -> Data
                 return
             batch = batch.filter(pa.array(may))
             for _, _, s, off in _column(batch):
-                sigs, numbers, ends, parts = [], [], [0], []
+                sigs, cuts, ends, parts = [], [], [0], []
                 for i, j, g in zip(off[:-1], off[1:], _signature(s, off, shared)[0].tolist(), strict=True):
                     if i == j or g in done:
                         continue
                     done.add(g)
                     places = _ordered(s[i:j], often)
-                    cut = _cuts(places, len(often[0]))
-                    used = np.flatnonzero(np.diff(cut))
-                    sigs += [g] * len(used)
-                    numbers += used.tolist()
-                    ends += (ends[-1] + cut[used + 1]).tolist()
+                    sigs.append(g)
+                    cuts.append(_cuts(places, len(often[0])))
+                    ends.append(ends[-1] + len(places))
                     parts.append(places)
                 if parts:
-                    yield {"sig": sigs, "fragment": numbers, "part": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))}
+                    yield {"sig": sigs, "places": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64))), "cut": cuts}
 
         yield from batches(each, schema)(it)
 
-    return _documents(docs).withColumn("at", place).mapInArrow(run, "sig long, fragment int, part array<long>")
+    return _documents(docs).withColumn("at", place).mapInArrow(run, "sig long, places array<long>, cut array<int>")
 
 
 def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
@@ -350,7 +348,8 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     key = F.when(F.col("k").isNull(), F.xxhash64(small)).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("a"), "k"), F.pmod(F.xxhash64("b"), "k")))
     keyed = materialize(cut.select(key.alias("task"), "a", "b", "na", "nb"))
     needs = keyed.select("task", F.explode(F.array("a", "b")).alias("sig")).distinct()
-    right = needs.join(sets, "sig").select(F.col("task").alias("t2"), F.col("fragment").alias("f2"), "sig", "part")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.slice("places", F.col("cut")[f] + 1, F.col("cut")[f + 1] - F.col("cut")[f]))
+    right = needs.join(sets, "sig").select(F.col("task").alias("t2"), "sig", F.posexplode(parts).alias("f2", "part")).where(F.size("part") > 0)
     left = keyed.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -403,24 +402,24 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-        fragment = table.column("fragment").to_numpy()
-        part, size = table.column("part").combine_chunks().flatten().to_numpy(), table.column("part").combine_chunks().value_lengths().to_numpy()
-        end = np.cumsum(size)
-        sides = []  # of the probes and of the others: signatures, sizes, components, the row of each fragment row
+        # a copy or two of a row do no harm
+        places, cut = (table.column(c).combine_chunks() for c in ("places", "cut"))
+        values, start = places.values.to_numpy(), places.offsets.to_numpy().astype(np.int64)
+        cut = cut.values.to_numpy()[cut.offsets[0].as_py() : cut.offsets[-1].as_py()].reshape(-1, FRAGMENTS + 1).astype(np.int64)
+        sides = []
         for side in (probe, ~probe):
             at = np.flatnonzero(side)
-            sig, first, back = np.unique(table.column("sig").to_numpy()[at], return_index=True, return_inverse=True)
-            sides.append((sig, table.column("n").to_numpy()[at][first], table.column("part_of").to_numpy()[at][first], at, back))
-        (sig, n, own, at, back), (sig2, n2, own2, at2, back2) = sides
+            sig, first = np.unique(table.column("sig").to_numpy()[at], return_index=True)
+            sides.append((sig, table.column("n").to_numpy()[at][first], table.column("part_of").to_numpy()[at][first], at[first]))
+        (sig, n, own, at), (sig2, n2, own2, at2) = sides
         out_a, out_b = [], []
         if len(sig) and len(sig2):
             overlap, differ = np.zeros((len(sig), len(sig2)), np.int64), np.zeros((len(sig), len(sig2)), np.int64)
             apart = own[:, None] == own2[None, :]
             for f in range(FRAGMENTS):
-                use, use2 = fragment[at] == f, fragment[at2] == f
-                held, held2 = (np.bincount(x[y], size[z[y]], len(w)).astype(np.int64) for x, y, z, w in ((back, use, at, sig), (back2, use2, at2, sig2)))
-                rows, rows2 = (np.concatenate([part[end[i] - size[i] : end[i]] for i in z[y]] or [part[:0]]) for y, z in ((use, at), (use2, at2)))
-                met = overlaps(rows, np.repeat(back[use], size[at[use]]), len(sig), rows2, np.repeat(back2[use2], size[at2[use2]]), len(sig2))
+                held, held2 = (cut[x, f + 1] - cut[x, f] for x in (at, at2))
+                rows, rows2 = (np.concatenate([values[start[i] + cut[i, f] : start[i] + cut[i, f + 1]] for i in x]) for x in (at, at2))
+                met = overlaps(rows, np.repeat(np.arange(len(at)), held), len(at), rows2, np.repeat(np.arange(len(at2)), held2), len(at2))
                 overlap += met
                 differ += held[:, None] + held2[None, :] - 2 * met  # at most this share of all may differ in a link
                 apart |= (100 + percent) * differ > (100 - percent) * (n[:, None] + n2[None, :])
