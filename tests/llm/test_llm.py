@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and hard inputs."""
 
+import functools
 import hashlib
 import math
 import re
@@ -30,7 +31,7 @@ def labels(spark):
 
 
 OPS = {
-    "ctw": lambda d, lab: ctw.score_texts(d, F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1, 3, 64),
+    "ctw": lambda d, lab: ctw.score_texts(d, F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1, 3, 64, 50),
     "sentencepiece": lambda d, lab: sentencepiece_codec.digest_texts(d, tokenizer("piece_bpe_32k.model")),
     "media": lambda d, lab: media.text_media(d),
     "packing": lambda d, lab: packing.pack_documents(d, tokenizer("byte_bpe_50k.json")),
@@ -51,63 +52,97 @@ def test_hard_and_empty_tables(hard, labels, name):
     assert len(OPS[name](hard.where("false"), labels.where("false")).toPandas()) == 0
 
 
-def test_ctw_against_brute_force(spark):
-    texts = ["abab", "abba", "aab", "", "bbbb ab"] * 3
-    depth = 2
-    kept, data = [], [t.encode() for t in texts]
-    counts = [dict() for _ in range(depth + 1)]
-    for t in data:
+def _brute_ctw(texts, train, depth):
+    """log10 probabilities of whole texts by recursion over contexts, each as a dict of counts."""
+    counts = {}
+    for t, use in zip(texts, train, strict=True):
         x = bytes([255] * depth) + t + b"\xff"
-        for i in range(depth, len(x)):
+        for i in range(depth, len(x)) if use else ():
             for d in range(depth + 1):
-                c = int.from_bytes(x[i - d : i], "big")
-                counts[d].setdefault(c, Counter())[x[i]] += 1
-    for d in counts:
-        rows = sorted((c, b, n) for c, v in d.items() for b, n in v.items())
-        kept.append(tuple(np.array(col, np.int64) for col in zip(*rows, strict=True)))
-    model = ctw.Model(kept)
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-5)
+                counts.setdefault(x[i - d : i], Counter())[x[i]] += 1
+    kids = {}
+    for c in counts:
+        if c:
+            kids.setdefault(c[1:], []).append(c)
+
+    @functools.cache
+    def node(c, prefix, level):
+        match = [(b, n) for b, n in counts.get(c, {}).items() if b >> (8 - level) == prefix]
+        one = sum(n for b, n in match if b >> (7 - level) & 1)
+        return sum(n for _, n in match) - one, one
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def node(c, d, prefix, level):
-        v = counts[d].get(c, {})
-        match = [(b, n) for b, n in v.items() if b >> (8 - level) == prefix]
-        one = sum(n for b, n in match if b >> (7 - level) & 1)
-        return sum(n for _, n in match) - one, one
+    @functools.cache
+    def below(c, prefix, level):
+        return sum(weighted(k, prefix, level) for k in kids.get(c, ()))
+
+    @functools.cache
+    def weighted(c, prefix, level):
+        own = kt(*node(c, prefix, level))
+        return own if len(c) == depth else np.logaddexp(own, below(c, prefix, level)) - math.log(2)
 
-    def weighted(c, d, prefix, level):
-        own = kt(*node(c, d, prefix, level))
-        if d == depth:
+    def one(past, d, prefix, level):
+        c = past[len(past) - d :]
+        a, b = node(c, prefix, level)
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth or not sum(node(past[len(past) - d - 1 :], prefix, level)):
             return own
-        kids = [k for k in counts[d + 1] if k & ((1 << 8 * d) - 1) == c]
-        rest = np.array(node(c, d, prefix, level)) - sum((np.array(node(k, d + 1, prefix, level)) for k in kids), np.zeros(2))
-        below = kt(*rest) + sum(weighted(k, d + 1, prefix, level) for k in kids)
-        return np.logaddexp(own, below) - math.log(2)
-
-    # a frozen prediction is the ratio of weighted probabilities with one more zero or one on the path
-    x, i = b"\xff\xffab", 3
-    logp = 0.0
-    for level in range(8):
-        prefix, bit = x[i] >> (8 - level), x[i] >> (7 - level) & 1
-        before = weighted(0, 0, prefix, level)
-        for d in range(depth + 1):
-            c = int.from_bytes(x[i - d : i], "big")
-            counts[d].setdefault(c, Counter())[x[i]] += 1
-        after = weighted(0, 0, prefix, level)
-        for d in range(depth + 1):
-            counts[d][int.from_bytes(x[i - d : i], "big")][x[i]] -= 1
-        logp += after - before
-        assert bit in (0, 1)
-    state = model.first[2] + int(np.flatnonzero(model.contexts[2] == (255 << 8 | ord("a")))[0])
-    assert abs(model.table[state, ord("b")] * math.log(10) - logp) < 1e-3
-    got = ctw.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True), 2, 1 << 20, 4).toPandas()
+        share = math.exp(kt(a, b) - math.log(2) - weighted(c, prefix, level))
+        return share * own + (1 - share) * one(past, d + 1, prefix, level)
+
+    out = []
+    for t in texts:
+        x, total = bytes([255] * depth) + t + b"\xff", 0.0
+        for i in range(depth, len(x)):
+            for level in range(8):
+                p = one(x[i - depth : i], 0, x[i] >> (8 - level), level)
+                total += math.log10(p if x[i] >> (7 - level) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("depth", "chunk"), [(2, 16 << 20), (3, 40), (6, 90), (6, 16 << 20)])
+def test_ctw_against_brute_force(spark, depth, chunk, monkeypatch):
+    monkeypatch.setattr(ctw, "STEP", 37)
+    texts = ["abab", "abba", "aab", "", "bbbb ab", "über 日本", "Zq new", "the cat sat on the mat and the cat sat " * 4, "thin cats sit\non  mats", "longwordwithoutanyspaces" * 5] * 2 + ["unheard of: 0x7f"]
+    train = [i % 3 != 1 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, u boolean")
+    got = ctw.score_texts(rows, F.col("u"), depth, 4, chunk).toPandas().sort_values("doc_id")
+    want = _brute_ctw([t.encode() for t in texts], train, depth)
+    assert np.allclose(got.score, want, rtol=1e-5) and list(got.held_out) == [not u for u in train]
+    assert np.allclose(got.bits_per_byte, [-w * math.log2(10) / (len(t.encode()) + 1) for w, t in zip(want, texts, strict=True)], rtol=1e-5)
     words = [[*t.encode().lower().split(), b""] for t in texts]
-    c = Counter(w for ws in words for w in ws)
+    c = Counter(w for ws, u in zip(words, train, strict=True) if u for w in ws)
     n, v = sum(c.values()), len(c)
-    want = {i: sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws) for i, ws in enumerate(words)}
-    assert all(abs(r.base_score - want[r.doc_id]) < 1e-9 and r.n_known == r.n_tokens and r.train_tokens == n for r in got.itertuples())
+    base = [sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws) for ws in words]
+    assert np.allclose(got.base_score, base, atol=1e-9) and (got.train_tokens == n).all()
+    assert list(got.n_tokens) == [len(ws) for ws in words] and list(got.n_known) == [sum(w in c for w in ws) for ws in words]
+
+
+def test_ctw_without_training_rows_and_with_a_long_text(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "x" * 3_000_000 + " y" * 500_000)], "doc_id long, text string")
+    got = ctw.score_texts(rows, F.lit(False), chunk=1 << 20).toPandas().sort_values("doc_id")
+    assert np.allclose(got.score, [-8 * (n + 1) * math.log10(2) for n in (2, 0, 4_000_000)], rtol=1e-6)
+    assert list(got.n_tokens) == [2, 1, 500_002] and (got.train_tokens == 0).all()
+    got = ctw.score_texts(rows, F.lit(True), chunk=1 << 20).toPandas().sort_values("doc_id")
+    assert got.bits_per_byte.iloc[2] < 0.01
+
+
+def test_ctw_keeps_every_context_and_sums_to_one():
+    rng = np.random.default_rng(3)
+    key, n = np.unique(rng.integers(0, 3, (5000, 7)) @ (256 ** np.arange(6, -1, -1)), return_counts=True)
+    upper = ctw.Upper(*ctw.upper_sums(key, n, 6).values())
+    contexts = np.unique(key >> 8)[:40]
+    whole = (contexts[:, None] << 8 | np.arange(256)).ravel()
+    seen = dict(zip(key.tolist(), n.tolist(), strict=True))
+    both = np.union1d(whole, key)
+    # windows without counts change nothing but are answered
+    logs = ctw.window_logs(both, np.array([seen.get(k, 0) for k in both.tolist()]), 6, ctw.Upper(*ctw.upper_sums(both, np.array([seen.get(k, 0) for k in both.tolist()]), 6).values()))
+    sums = (10 ** logs[np.searchsorted(both, whole)]).reshape(-1, 256).sum(1)
+    assert np.allclose(sums, 1)
+    assert np.allclose(logs[np.searchsorted(both, key)], ctw.window_logs(key, n, 6, upper))
 
 
 def test_sentencepiece_best_path_and_round_trip():
