@@ -30,13 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/lexiweave-checkpoints"
 
 
-def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def materialize(df: DataFrame, partitions: int | None = None, rows_per_file: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing. Rows of megabytes need files of few rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiweave-{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

@@ -72,8 +72,17 @@ def _parts(text: bytes, limit: int) -> Iterator[tuple[int, int]]:
     yield a, len(text)
 
 
+def _squeeze(data: bytes) -> bytes:
+    """The length and the compressed bytes."""
+    return np.int64(len(data)).tobytes() + pa.compress(bytes(data), "zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), "zstd", asbytes=True)
+
+
 def chunked(docs: DataFrame, depth: int, limit: int) -> DataFrame:
-    """docs(row, doc_id, train, text) as rows of CHUNKS; a body holds each part's bytes after its context."""
+    """docs(row, doc_id, train, text) as rows of CHUNKS; a body holds each part's bytes after its context, compressed."""
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     schema = pa.schema(
         [("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("last", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())]
@@ -84,7 +93,7 @@ def chunked(docs: DataFrame, depth: int, limit: int) -> DataFrame:
 
         def out():
             cols = [[x] for x in zip(*held, strict=True)]
-            made = [[0], *cols, [bytes(body)]]
+            made = [[0], *cols, [_squeeze(body)]]
             return pa.RecordBatch.from_arrays([pa.array(v, schema.field(k).type) for k, v in zip(names, made, strict=True)], schema=schema)
 
         for batch in it:
@@ -126,7 +135,11 @@ def _keys(body: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.
 
 def _distinct(body: np.ndarray, sizes: np.ndarray, train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct windows, and how often training parts have them."""
-    marked = np.sort(np.concatenate([k << 1 | train[p] for k, p in _keys(body, sizes, depth)]))
+    marked, at = np.empty(int(sizes.sum()), np.int64), 0
+    for k, part in _keys(body, sizes, depth):
+        marked[at : at + len(k)] = k << 1 | train[part]
+        at += len(k)
+    marked.sort()
     first = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1])))
     n = np.diff(np.append(first, len(marked)))
     marked = marked[first]
@@ -141,32 +154,28 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
-def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """By all but the oldest byte of the context and the next byte."""
-    mixed = (key >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
+def _by_bucket(key: np.ndarray, buckets: int, shift: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the keys sorted in each; the buckets met, and where they start and end.
 
-def _by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by bucket that keeps the keys sorted in each; the buckets met, and where they start and end."""
-    bucket = _bucket_of(key, buckets)
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    A bucket is a hash of the key without its lowest `shift` bits.
+    """
+    mixed = (key >> shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-    return order, bucket[first], np.append(first, len(bucket))
+    return order, bucket[first].astype(np.int64), np.append(first, len(bucket))
 
 
 def _pack(x: np.ndarray) -> bytes:
     """An array's bytes by place, compressed."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return np.int64(len(x)).tobytes() + pa.compress(planes, "zstd", asbytes=True)
+    return _squeeze(planes)
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
-    n = int(np.frombuffer(blob[:8], np.int64)[0])
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(blob[8:], n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+    planes = np.frombuffer(_expand(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _pack_keys(key: np.ndarray) -> bytes:
@@ -179,7 +188,7 @@ def _unpack_keys(blob: bytes) -> np.ndarray:
 
 def _of_chunk(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(body, sizes, train) of a row of chunks."""
-    body = np.frombuffer(batch.column("body")[i].as_buffer(), np.uint8)
+    body = np.frombuffer(_expand(batch.column("body")[i].as_py()), np.uint8)
     return body, np.array(batch.column("sizes")[i].as_py(), np.int64), np.array(batch.column("train")[i].as_py(), np.int64)
 
 
@@ -201,34 +210,43 @@ def asked_windows(chunks: DataFrame, depth: int, buckets: int) -> DataFrame:
     return chunks.select("chunk", "train", "sizes", "body").mapInArrow(run, "chunk long, bucket long, keys binary, n binary")
 
 
-def window_counts(asked: DataFrame) -> DataFrame:
-    """(key, n) of all windows, added up bucket by bucket."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def _merged(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(ns)
+    order = np.argsort(key, kind="stable")
+    return _summed(key[order], n[order])
 
-    def run(it):
-        now, keys, ns, held = None, [], [], 0
 
-        def merged():
-            key, n = np.concatenate(keys), np.concatenate(ns)
-            order = np.argsort(key, kind="stable")
-            return _summed(key[order], n[order])
+def _added_up(it, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, sums of n) of each value of column `name`, by which the rows with blobs of keys and n come sorted."""
+    now, keys, ns, held = None, [], [], 0
+    for batch in it:
+        for value, k, n in zip(*(batch.column(x).to_pylist() for x in (name, "keys", "n")), strict=True):
+            if value != now:
+                if keys:
+                    yield _merged(keys, ns)
+                now, keys, ns, held = value, [], [], 0
+            keys.append(_unpack_keys(k))
+            ns.append(_unpack(n, np.int64))
+            held += len(keys[-1])
+            if held > 2_000_000 and held > 2 * len(keys[0]):
+                k, n = _merged(keys, ns)
+                keys, ns, held = [k], [n], len(k)
+    if keys:
+        yield _merged(keys, ns)
 
-        for batch in it:
-            for bucket, k, n in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if bucket != now:
-                    if keys:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], schema=schema)
-                    now, keys, ns, held = bucket, [], [], 0
-                keys.append(_unpack_keys(k))
-                ns.append(_unpack(n, np.int64))
-                held += len(keys[-1])
-                if held > 4_000_000 and held > 2 * len(keys[0]):
-                    k, n = merged()
-                    keys, ns, held = [k], [n], len(k)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], schema=schema)
 
-    return asked.select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long")
+def window_counts(asked: DataFrame, depth: int, groups: int) -> DataFrame:
+    """(pairs, keys, n) of all windows, added up bucket by bucket; in blobs by a hash of the two latest bytes."""
+    schema = pa.schema([("pairs", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def run(it):
+        for key, n in _added_up(it, "bucket"):
+            order, met, cut = _by_bucket(key, groups, 8 * (depth - 1))
+            key, n = key[order], n[order]
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array([_pack_keys(key[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(n[a:b]) for a, b in spans], pa.binary())], schema=schema)
+
+    return asked.select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "pairs long, keys binary, n binary")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -377,34 +395,38 @@ def window_logs(key: np.ndarray, n: np.ndarray, depth: int, upper: Upper) -> np.
 
 
 def _by_pairs(windows: DataFrame, depth: int, work, schema: pa.Schema, ddl: str) -> DataFrame:
-    """work(keys, counts) -> columns over sorted windows(key, n), whole pairs of latest bytes at a time."""
+    """work(keys, counts) -> columns over sorted windows, whole pairs of latest bytes at a time."""
     pair = 8 * (depth - 1)
 
     def run(it):
         keys, ns, held = [], [], 0
 
-        def done(k, n):
-            if len(k):
-                cols = work(k, n)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in zip(schema, cols, strict=True)], schema=schema)
-
-        for batch in it:
-            keys.append(batch.column(0).to_numpy())
-            ns.append(batch.column(1).to_numpy())
-            held += len(keys[-1])
+        def done(keys, ns):
+            key, n = _merged(keys, ns)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] >> pair != key[:-1] >> pair)))
+            at = 0
+            while at < len(key):
+                i = int(np.searchsorted(starts, at + SUBTREE_ROWS))
+                end = int(starts[i]) if i < len(starts) else len(key)
+                cols = work(key[at:end], n[at:end])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for f, x in zip(schema, cols, strict=True)], schema=schema)
+                at = end
+
+        for key, n in _added_up(it, "pairs"):
+            keys.append(key)
+            ns.append(n)
+            held += len(key)
             if held >= SUBTREE_ROWS:
-                k, n = np.concatenate(keys), np.concatenate(ns)
-                cut = int(np.searchsorted(k, k[-1] >> pair << pair))
-                yield from done(k[:cut], n[:cut])
-                keys, ns, held = [k[cut:]], [n[cut:]], len(k) - cut
+                yield from done(keys, ns)
+                keys, ns, held = [], [], 0
         if keys:
-            yield from done(np.concatenate(keys), np.concatenate(ns))
+            yield from done(keys, ns)
 
-    return windows.select("key", "n").repartition(F.shiftright("key", pair)).sortWithinPartitions("key").mapInArrow(run, ddl)
+    return windows.repartition("pairs").sortWithinPartitions("pairs").mapInArrow(run, ddl)
 
 
 def learn(windows: DataFrame, depth: int) -> Upper:
-    """The two upper depths of the tree over windows(key, n), a written table."""
+    """The two upper depths of the tree over windows, a written table."""
     schema = pa.schema([("bit", pa.int64()), ("name", pa.int64()), ("value", pa.float64())])
     sums = _by_pairs(windows, depth, lambda k, n: upper_sums(k, n, depth).values(), schema, "bit long, name long, value double")
     t = sums.groupBy("bit", "name").agg(F.sum("value").alias("value")).toArrow()  # at most 65,280 nodes and 65,536 counts
@@ -459,7 +481,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 def _part_texts(batch: pa.RecordBatch | pa.Table, i: int, depth: int) -> Iterator[tuple[bytes, bool]]:
     """(bytes, whether it ends its text) of a chunk's parts."""
-    body, at = batch.column("body")[i].as_py(), 0
+    body, at = _expand(batch.column("body")[i].as_py()), 0
     for size, last in zip(batch.column("sizes")[i].as_py(), batch.column("last")[i].as_py(), strict=True):
         at += depth + size
         yield body[at - size : at - last], last
@@ -492,11 +514,11 @@ def score_texts(docs: DataFrame, train_where, depth: int = DEPTH, known: int = K
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), train_where.alias("train"), F.col("text").cast("string").alias("text"))
-    chunks = materialize(chunked(rows, depth, chunk))
-    size = chunks.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    chunks = materialize(chunked(rows, depth, chunk), rows_per_file=8)
+    size = chunks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     buckets = min(BUCKETS, max(16, size // BUCKET_BYTES))
     asked = materialize(asked_windows(chunks, depth, buckets))
-    windows = materialize(window_counts(asked))
+    windows = materialize(window_counts(asked, depth, buckets))
     answered = answers(asked, window_scores(windows, depth, learn(windows, depth), buckets))
 
     counts = materialize(word_counts(chunks, depth))
