@@ -122,15 +122,18 @@ def chunked(docs: DataFrame, depth: int, limit: int) -> DataFrame:
 def _keys(body: np.ndarray, sizes: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(windows, their parts) of all coded bytes, in steps: the latest byte of the context highest, the next byte lowest."""
     ends = np.cumsum(sizes + depth)
-    for a in range(0, len(body), STEP):
-        at = np.arange(a, min(a + STEP, len(body)))
-        part = np.searchsorted(ends, at, "right")
-        use = at >= (ends[part] - sizes[part])
-        at, part = at[use], part[use]
-        key = np.zeros(len(at), np.int64)
-        for i in range(1, depth + 1):
-            key = key << 8 | body[at - i]
-        yield key << 8 | body[at], part
+    for a in range(depth, len(body), STEP):
+        b = min(a + STEP, len(body))
+        met = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left") + 1)
+        part = np.repeat(met, np.minimum(ends[met], b) - np.maximum(ends[met] - sizes[met] - depth, a))
+        use = np.arange(a, b) >= (ends - sizes)[part]
+        key = body[a - 1 : b - 1].astype(np.int64)
+        for i in range(2, depth + 1):
+            key <<= 8
+            key |= body[a - i : b - i]
+        key <<= 8
+        key |= body[a:b]
+        yield key[use], part[use]
 
 
 def _distinct(body: np.ndarray, sizes: np.ndarray, train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +157,17 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
+def _looked_up(k: np.ndarray, key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The values of k, all of which the sorted keys have; each distinct one is looked up once."""
+    order = np.argsort(k)
+    k = k[order]
+    new = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+    found = value[np.searchsorted(key, k[new])]
+    each = np.empty(len(k))
+    each[order] = found[np.cumsum(new) - 1]
+    return each
+
+
 def _by_bucket(key: np.ndarray, buckets: int, shift: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by bucket that keeps the keys sorted in each; the buckets met, and where they start and end.
 
@@ -539,10 +553,7 @@ def score_texts(docs: DataFrame, train_where, depth: int = DEPTH, known: int = K
             value[order[a:b]] = _unpack(given[bucket], np.float32)
         score = np.zeros(len(sizes))
         for k, part in _keys(body, sizes, depth):
-            o = np.argsort(k)
-            each = np.empty(len(k))
-            each[o] = value[np.searchsorted(key, k[o])]
-            score += np.bincount(part, each, len(sizes))
+            score += np.bincount(part, _looked_up(k, key, value), len(sizes))
         n_tokens, n_known, base, rare = [], [], [], []
         for t, last in _part_texts(left, 0, depth):
             words = tokens(t)
