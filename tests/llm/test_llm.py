@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import random
 import re
 import struct
 import time
@@ -442,6 +443,36 @@ def test_licenses_beside_other_text(spark):
     assert [r["licenses"] for r in got] == ["apache", "cc_by_nc", "mit"]
 
 
+def test_licenses_without_cue_words(spark):
+    plain = [x for f in licenses.TEMPLATES for x in licenses.TEMPLATES[f] if not re.search(licenses.CUE[4:], x, re.I)]
+    assert len(plain) == 2
+    prose = " ".join(f"plain{i}" for i in range(20))
+    t = [*plain, f"{prose}\n{plain[0].replace(' and may', chr(10) + 'and may')}\n{prose}", "Public\n\ndomain", "Komm mit.\nEr ging mit ihr unter dem Dach mit.", "", None]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in got] == list(range(len(t)))
+    assert [r["confirmed"] for r in got] == ["proprietary"] * 3 + [""] * 4 and [r["licenses"] for r in got] == [r["confirmed"] for r in got]
+    assert [(r["n_license_paragraphs"], r["n_unknown_paragraphs"]) for r in got] == [(1, 0)] * 3 + [(0, 0)] * 4
+
+
+def test_licenses_of_one_long_line(spark):
+    other = " ".join(f"plain{i}" for i in range(300))
+    t = f"{other} {licenses.TEMPLATES['mit'][2]} {other} {licenses.TEMPLATES['gpl'][1]} {other} {licenses.TEMPLATES['proprietary'][4]} {other}"
+    (got,) = licenses.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+    assert got["confirmed"] == "gpl,mit,proprietary"
+
+
+def test_licenses_judge_every_unit(spark):
+    classes, weights, bias = licenses.train()
+    u, rng = classes.index(licenses.UNKNOWN), random.Random(3)
+    every = [re.findall(licenses.WORDS, t.lower()) for t, _ in licenses.notices()[1]]
+    units = [[w for x in rng.choices(every, k=2) for w in x[: rng.randrange(1, 12)] if rng.random() > 0.2] + ["plain"] * rng.randrange(3) for _ in range(300)] + [["plain"], []]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(units)], "i int, words array<string>")
+    possible = licenses._possible()
+    got = rows.select("i", possible(F.col("words"), F.array(F.struct(F.lit(1).alias("at"), F.size("words").alias("n")))).alias("p")).orderBy("i").collect()
+    z = np.array([bias + sum((weights[n] for n in licenses.features(" ".join(x)) if n in weights), np.zeros(len(classes))) for x in units])
+    assert [r["p"] for r in got] == list(np.delete(z, u, 1).max(1) >= z[:, u]) and 20 < sum(r["p"] for r in got) < 280
+
+
 def test_language(spark):
     t = {"en": "the quick brown fox jumps over the lazy dog and then the other one", "de": "der schnelle braune fuchs springt über den faulen hund und dann noch einer"}
     model = {k: language._top(language.grams(v), 600) for k, v in t.items()}
