@@ -123,8 +123,6 @@ PROSE = [
 CUE = r"(?i)licen[cs]e|copyright|rights[\s#*/;%>-]+reserved|public[\s#*/;%>-]+domain|creative[\s#*/;%>-]+commons|redistribut|permission|\bCC[ -]BY|\bCC0|\bGPL|\bLGPL|\bMPL|software"
 WORDS = r"[a-z0-9]+"
 THRESHOLD, CONFIRM = 0.5, 0.6
-#: Slots of the hash table of features.
-SLOTS = 4096
 UNKNOWN = "unknown"
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 #: Half a window, in words: no template is longer.
@@ -244,6 +242,29 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _places(names: list[str]) -> tuple[list[int], list[int]]:
+    """(shift of each of 4,096 groups, number from 1 of the name in each slot or 0) such that no two names share a slot.
+
+    A name's group is its crc32's low 12 bits, its slot the other bits plus the group's shift, modulo the slots.
+    """
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for i, n in enumerate(names):
+        h = zlib.crc32(n.encode())
+        groups.setdefault(h & 4095, []).append((h >> 12, i + 1))
+    for size in range(2 * len(names) + 1, 2 * len(names) + 1000):
+        shifts, slots = [0] * 4096, [0] * size
+        for g, members in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            free = lambda d: len({(h + d) % size for h, _ in members}) == len(members) and not any(slots[(h + d) % size] for h, _ in members)  # noqa: B023, E731
+            shifts[g] = next(filter(free, range(size)), -1)
+            if shifts[g] < 0:
+                break
+            for h, i in members:
+                slots[(h + shifts[g]) % size] = i
+        else:
+            return shifts, slots
+    raise ValueError("two features have one crc32")
+
+
 def _possible() -> Callable[[Column, Column], Column]:
     """words, spans (array of struct(at, n), at from 1) -> whether the model may know a licence in any span.
 
@@ -252,21 +273,20 @@ def _possible() -> Callable[[Column, Column], Column]:
     """
     classes, weights, bias = train()
     u = classes.index(UNKNOWN)
-    # features by slot of their checksum; a feature's number is its place in this order
-    names = sorted(weights, key=lambda n: (zlib.crc32(n.encode()) % SLOTS, n))
-    slots = np.array([zlib.crc32(n.encode()) % SLOTS for n in names])
-    first, order = _literal(np.searchsorted(slots, np.arange(SLOTS + 1)) + 1, "int"), _literal(names, "string")
+    names = sorted(weights)
+    alone, twofold = [n for n in names if " " not in n], [n for n in names if " " in n]
+    shifts, slots = _places(names)
+    size, shift, slot, order = len(slots), _literal(shifts, "int"), _literal(slots, "int"), _literal(names, "string")
     gain = np.array([weights[n] - weights[n][u] for n in names])
     sums = [(float(bias[c] - bias[u]), _literal((repr(float(v)) for v in gain[:, c]), "double")) for c in range(len(classes)) if c != u]
 
-    def number(name: Column) -> Column:
-        slot = (F.crc32(name.cast("binary")) % SLOTS + 1).cast("int")
-        at = F.element_at(first, slot)
-        place = F.array_position(F.slice(order, at, F.element_at(first, slot + 1) - at), name).cast("int")
-        return F.when(place > 0, at + place - 1).otherwise(0)
+    def number(name: Column, known: list[str]) -> Column:
+        crc = F.crc32(name.cast("binary"))
+        at = (F.shiftright(crc, 12) + F.element_at(shift, (crc.bitwiseAND(F.lit(4095)) + 1).cast("int"))) % size + 1
+        return F.when(name.isin(known), F.element_at(slot, at.cast("int"))).otherwise(0)
 
     def pair(a: Column, b: Column) -> Column:
-        return F.when((a > 0) & (b > 0), number(F.concat_ws(" ", F.element_at(order, a), F.element_at(order, b)))).otherwise(0)
+        return F.when((a > 0) & (b > 0), number(F.concat_ws(" ", F.element_at(order, a), F.element_at(order, b)), twofold)).otherwise(0)
 
     def likely(found: Column) -> Column:
         odds = lambda b, w: F.aggregate(found, F.lit(b), lambda z, i: z + F.element_at(w, i))
@@ -276,9 +296,8 @@ def _possible() -> Callable[[Column, Column], Column]:
         inside = lambda s: F.concat(F.slice(single, s["at"], s["n"]), F.slice(double, s["at"], F.greatest(s["n"] - 1, F.lit(0))))
         return F.exists(F.transform(spans, lambda s: F.array_distinct(F.filter(inside(s), lambda i: i > 0))), likely)
 
-    alone = [n for n in names if " " not in n]
     return lambda words, spans: _let(
-        F.transform(words, lambda w: F.when(w.isin(alone), number(w)).otherwise(0)),
+        F.transform(words, lambda w: number(w, alone)),
         lambda single: _let(F.zip_with(single, F.slice(single, 2, F.size(single)), pair), lambda double: some(single, double, spans)),
     )
 
