@@ -1,6 +1,9 @@
 """Steps that must not hold a part, all questions or all pairs in one task, against their plain forms."""
 
 import numpy as np
+import pyarrow as pa
+from lexiweave.operators import evaluate as E
+from lexiweave.operators import search
 from lexiweave.operators import train as TR
 from lexiweave.storage import dealt
 from pyspark.sql import functions as F
@@ -27,3 +30,37 @@ def test_parts_are_trained_from_a_stream(spark):
 def test_slots_have_partitions_of_their_own(spark):
     df = dealt(spark.range(70).withColumn("slot", (F.col("id") % 7).cast("int")), "slot", 7)
     assert df.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("slot").alias("n"), F.count("*").alias("rows")).where("n = 1 and rows = 10").count() == 7
+
+
+def test_a_search_holds_one_block_of_products(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9_000, 6))
+    x[5_000:7_000] = x[:2_000]  # equal vectors: the smaller word is first
+    words = [f"{(i * 7919) % 9_000:05}" for i in range(9_000)]
+    v = [rng.normal(size=(1_500, 6)) for _ in range(3)]
+    shapes, plain = [], search.Add.coarse
+    monkeypatch.setattr(search.Add, "coarse", lambda self, *a: shapes.append((out := plain(self, *a))[0].shape) or out)
+    own = [[words[i], words[i + 1]] for i in range(1_500)]
+    asked = pa.table({"key": np.arange(1_500), "own": own, **{f"v{i}": pa.array(list(m)) for i, m in enumerate(v)}})
+    tile = search._Tile(asked, 2, "add", (), True)
+    for i in range(0, 9_000, 5_000):
+        tile.meet(pa.array(words[i : i + 5_000]), x[i : i + 5_000])
+    got = pa.Table.from_batches(tile.rows()).to_pydict()
+    assert max(a for a, _ in shapes) <= search.CHUNK and max(b for _, b in shapes) <= search.BLOCK
+    for q in range(0, 1_500, 50):
+        s = search._dots(x, v[1][[q] * 9_000]) - search._dots(x, v[0][[q] * 9_000]) + search._dots(x, v[2][[q] * 9_000])
+        want = sorted((-s[j], words[j]) for j in range(9_000) if words[j] not in own[q])[:2]
+        assert [(-a, w) for k, w, a in zip(got["key"], got["word"], got["score"]) if k == q] == want
+
+
+def test_neighbours_of_equal_vectors_go_by_word_in_every_tile(spark, monkeypatch):
+    monkeypatch.setattr(search, "WORDS", 20)
+    monkeypatch.setattr(search, "SPREAD", 10)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 3))
+    e = spark.createDataFrame([(f"{i:03}", x[i % 30].tolist()) for i in range(90)], "word string, vector array<double>")
+    got = {r["query"]: [] for r in E.neighbours(e, e, 4).orderBy("query", "rank").collect()}
+    for r in E.neighbours(e, e, 4, exclude=("001",)).orderBy("query", "rank").collect():
+        got[r["query"]].append(r["word"])
+    assert len(got) == 90 and all(len(w) == 4 for w in got.values())
+    assert got["000"][:2] == ["030", "060"] and got["030"][:2] == ["000", "060"] and got["031"][0] == "061"
