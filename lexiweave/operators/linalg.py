@@ -104,6 +104,35 @@ def low_rank_align(x: np.ndarray, y: np.ndarray, correspondence: np.ndarray, d:
     return v[:n, 1 : d + 1], v[n:, 1 : d + 1]
 
 
+def low_rank_maps(g: np.ndarray, n: int, d: int, mu: float = 0.8) -> tuple[np.ndarray, np.ndarray] | None:
+    """low_rank_align of x with y, row by row, as maps of their joined columns: from g = [x y]'[x y] alone, x having n of them.
+
+    Outside the columns' span the matrix is that of two equal graphs, whose vectors tell
+    nothing; within it is of the size of the columns. None where the span has too few directions.
+    """
+    w, e = np.linalg.eigh(g[:n, :n])
+    u, f = np.linalg.eigh(g[n:, n:])
+    m = np.zeros((len(g), (w > 1).sum() + (u > 1).sum()))
+    first = int((w > 1).sum())
+    m[:n, :first], m[n:, first:] = e[:, w > 1] / np.sqrt(w[w > 1]), f[:, u > 1] / np.sqrt(u[u > 1])
+    share = 1 - 1 / np.concatenate([w[w > 1], u[u > 1]])
+    values, vectors = np.linalg.eigh(m.T @ g @ m)
+    keep = values > 1e-10
+    basis = m @ vectors[:, keep] / np.sqrt(values[keep])
+    b = basis.shape[1]
+    c = basis.T @ g @ m
+    k = np.eye(2 * b)
+    k[:b, :b] -= (c[:, :first] * share[:first]) @ c[:, :first].T
+    k[b:, b:] -= (c[:, first:] * share[first:]) @ c[:, first:].T
+    lap = np.kron(np.array([[1.0, -1.0], [-1.0, 1.0]]), np.eye(b))
+    values, v = np.linalg.eigh((1 - mu) * (k @ k.T) + 2 * mu * lap)
+    if len(values) <= d or values[d] > (1 - mu) * (1 - 1e-9):
+        return None
+    v = v[:, 1 : d + 1]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(d)])
+    return basis @ v[:b], basis @ v[b:]
+
+
 def pca_basis(cov: np.ndarray, k: int | None = None, threshold: float | None = None, compat_rows: bool = False) -> np.ndarray:
     """Eigenvectors of the covariance as columns: the last k, or those whose root eigenvalue exceeds the threshold.
 

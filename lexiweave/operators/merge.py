@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import add, normalize, sum_vector
 from ..storage import materialize
-from .linalg import cross, gram, low_rank_align, pca_basis, procrustes, project
+from .linalg import cross, gram, low_rank_align, low_rank_maps, pca_basis, procrustes, project
 from .vocabulary import common, concat, join_all
 
 
@@ -147,19 +147,45 @@ def fold(models: list[DataFrame], order: str = "sequential", strategy: str = "ad
     return models[0]
 
 
-def _matrices(models: list[DataFrame], limit: int) -> tuple[list[str], list[np.ndarray]]:
-    """The common words and each model's rows on the driver; dense methods take a small vocabulary only."""
+def _joined(models: list[DataFrame]) -> DataFrame:
+    """(word, v0, v1, ..) of the common words."""
     joined = models[0].select("word", F.col("vector").alias("v0"))
     for i, m in enumerate(models[1:], 1):
         joined = joined.join(m.select("word", F.col("vector").alias(f"v{i}")), "word")
-    rows = joined.orderBy("word").limit(limit + 1).toPandas()
+    return joined
+
+
+def _matrices(models: list[DataFrame], limit: int) -> tuple[list[str], list[np.ndarray]]:
+    """The common words and each model's rows on the driver; dense methods take a small vocabulary only."""
+    rows = _joined(models).orderBy("word").limit(limit + 1).toPandas()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} words in common; restrict the vocabulary first")
     return list(rows["word"]), [np.stack(rows[f"v{i}"]).astype(float) for i in range(len(models))]
 
 
 def lra(models: list[DataFrame], dim: int, multiply: bool = False, limit: int = 2000) -> DataFrame:
-    """Running merge by low-rank alignment: averages weighted by the models so far, or products."""
+    """Running merge by low-rank alignment: averages weighted by the models so far, or products.
+
+    Each step is two maps of the joined vectors, found from their cross products, so any
+    vocabulary will do. Where the vectors have fewer directions than dim + 1, which leaves the rest
+    to chance, the dense form chooses them, for `limit` words at most.
+    """
+    rows = materialize(_joined(models)).withColumn("fx", F.col("v0"))
+    for i in range(1, len(models)):
+        size = rows.select(F.size("fx")).first()
+        if not size:
+            break
+        both = rows.withColumn("both", F.concat("fx", f"v{i}"))
+        maps = low_rank_maps(gram(both, "both"), size[0], dim)
+        if maps is None:
+            return _dense_lra(models, dim, multiply, limit)
+        ab = project(both, np.hstack(maps), "both")
+        a, b = F.slice("both", 1, dim), F.slice("both", dim + 1, dim)
+        rows = ab.withColumn("fx", F.zip_with(a, b, (lambda x, y: x * y) if multiply else (lambda x, y: (x * i + y) / (i + 1)))).drop("both")
+    return rows.select("word", F.col("fx").alias("vector"))
+
+
+def _dense_lra(models: list[DataFrame], dim: int, multiply: bool, limit: int) -> DataFrame:
     words, xs = _matrices(models, limit)
     fx = xs[0]
     for i, y in enumerate(xs[1:]):

@@ -3,6 +3,8 @@
 import numpy as np
 import pyarrow as pa
 from lexiweave.operators import evaluate as E
+from lexiweave.operators import linalg as L
+from lexiweave.operators import merge as M
 from lexiweave.operators import search
 from lexiweave.operators import train as TR
 from lexiweave.storage import dealt
@@ -64,3 +66,17 @@ def test_neighbours_of_equal_vectors_go_by_word_in_every_tile(spark, monkeypatch
         got[r["query"]].append(r["word"])
     assert len(got) == 90 and all(len(w) == 4 for w in got.values())
     assert got["000"][:2] == ["030", "060"] and got["030"][:2] == ["000", "060"] and got["031"][0] == "061"
+
+
+def test_low_rank_alignment_of_any_vocabulary(spark):
+    rng = np.random.default_rng(4)
+    for r, t in ((5, 4), (3, 6)):
+        x, y = rng.normal(size=(40, r)), rng.normal(size=(40, t))
+        g = np.hstack([x, y]).T @ np.hstack([x, y])
+        a, b = L.low_rank_align(x, y, np.eye(40), 3)
+        p, q = L.low_rank_maps(g, r, 3)
+        got, want = np.hstack([x, y]) @ np.vstack([p.T, q.T]).T, np.hstack([a, b])
+        sign = np.sign((got * want).sum(0))[:3]
+        assert np.allclose(got * np.tile(sign, 2), want, atol=1e-8)
+    e = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rng.normal(size=(2_100, 4)))], "word string, vector array<double>")
+    assert M.lra([e, e.where("word != '7'")], 2).count() == 2_099  # more than 2,000 were an error
