@@ -1,5 +1,7 @@
 """Steps that must not hold a part, all questions or all pairs in one task, against their plain forms."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from lexiweave.operators import evaluate as E
@@ -80,3 +82,30 @@ def test_low_rank_alignment_of_any_vocabulary(spark):
         assert np.allclose(got * np.tile(sign, 2), want, atol=1e-8)
     e = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rng.normal(size=(2_100, 4)))], "word string, vector array<double>")
     assert M.lra([e, e.where("word != '7'")], 2).count() == 2_099  # more than 2,000 were an error
+
+
+def test_clusters_without_a_matrix_of_distances(spark, monkeypatch):
+    def greedy(x, k, linkage, metric):
+        groups = [[i] for i in range(len(x))]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = 1 - u @ u.T if metric == "cosine" else np.linalg.norm(x[:, None] - x, axis=2)
+        ward = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        far = {"ward": ward, "average": lambda a, b: d[np.ix_(a, b)].mean(), "complete": lambda a, b: d[np.ix_(a, b)].max()}[linkage]
+        while len(groups) > k:
+            i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: far(groups[p[0]], groups[p[1]]))
+            groups[j] += groups.pop(i)
+        return {frozenset(g) for g in groups}
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 5))
+    for kept in (300, 0.001):  # all distances kept, two clusters' only
+        monkeypatch.setattr(E, "KEPT_MB", kept)
+        for linkage, metric in E.CLUSTERINGS:
+            lab = E.agglomerative(x, 6, linkage, metric)
+            assert {frozenset(np.flatnonzero(lab == i).tolist()) for i in set(lab)} == greedy(x, 6, linkage, metric)
+    words = spark.createDataFrame([("d", str(i), str(i % 3)) for i in range(40)], "dataset string, word string, cluster string")
+    e = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "word string, vector array<double>")
+    assert [r["dataset"] for r in E.categorization(words, e).collect()] == ["d"]
+    began = time.monotonic()
+    E.agglomerative(rng.normal(size=(3_000, 8)), 10)
+    assert time.monotonic() - began < 20  # by all pairs for each merge: 50 s and more
