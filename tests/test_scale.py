@@ -107,5 +107,20 @@ def test_clusters_without_a_matrix_of_distances(spark, monkeypatch):
     e = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "word string, vector array<double>")
     assert [r["dataset"] for r in E.categorization(words, e).collect()] == ["d"]
     began = time.monotonic()
-    E.agglomerative(rng.normal(size=(3_000, 8)), 10)
-    assert time.monotonic() - began < 20  # by all pairs for each merge: 50 s and more
+    E.agglomerative(rng.normal(size=(4_500, 8)), 10)
+    assert time.monotonic() - began < 20
+
+
+def test_wordrep_asks_every_pair_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "PAIRS", 4)
+    monkeypatch.setattr(E, "FIRST", 10)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(36, 3))
+    x[1::2] = x[::2] + [3, 0, 0] + 0.05 * rng.normal(size=(18, 3))  # so that some questions are answered
+    e = spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(x)], "word string, vector array<double>")
+    pairs = spark.createDataFrame([(f"c{i % 2}", "h", f"w{2 * i}", f"w{2 * i + 1}") for i in range(17)] + [("c0", "h", "w3", "unknown")], "category string, category_high string, left string, right string")
+    want = E.wordrep_summary(E.analogy_answers(E.wordrep_questions(pairs, None), e)).where("level = 'all'").select("n", "correct").first()
+    got = E.wordrep_accuracy(pairs, e).first()
+    assert want["n"] == 10 * 9 + 8 * 7 and want["correct"] > 10
+    assert (got["n"], got["correct"]) == (want["n"], want["correct"]) and got["accuracy"] == got["correct"] / got["n"]
+    assert E.evaluate_one(e, E.Benchmarks(wordrep=pairs, max_pairs=None), "wordrep").first()["value"] == got["accuracy"]
