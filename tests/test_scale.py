@@ -1,14 +1,18 @@
 """Steps that must not hold a part, all questions or all pairs in one task, against their plain forms."""
 
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from lexiweave.operators import distribution as D
 from lexiweave.operators import evaluate as E
 from lexiweave.operators import linalg as L
 from lexiweave.operators import merge as M
 from lexiweave.operators import search
 from lexiweave.operators import train as TR
+from lexiweave.plans import pipelines as P
+from lexiweave.sources.corpus import numbered_lines
 from lexiweave.storage import dealt
 from pyspark.sql import functions as F
 
@@ -124,3 +128,40 @@ def test_wordrep_asks_every_pair_of_pairs(spark, monkeypatch):
     assert want["n"] == 10 * 9 + 8 * 7 and want["correct"] > 10
     assert (got["n"], got["correct"]) == (want["n"], want["correct"]) and got["accuracy"] == got["correct"] / got["n"]
     assert E.evaluate_one(e, E.Benchmarks(wordrep=pairs, max_pairs=None), "wordrep").first()["value"] == got["accuracy"]
+
+
+def test_corpora_are_counted_once(spark):
+    docs = spark.createDataFrame([(i, "a b a\nc a" if i % 2 else "b  c\n\na b c d") for i in range(20)], "doc_id long, text string")
+    lines = numbered_lines(docs)
+    for f in (lambda: P.fidelity(lines, 3), lambda: P.block_fidelity(lines, 50, [2, 5])):
+        assert plan(f()).count("Generate explode") == plan(f()).count("Generate explode(array") <= 2  # words come from the written counts
+    got = {(r["d"], r["part_id"]): r["kl"] for r in P.block_fidelity(lines, 50, [2, 5]).collect()}
+    words = {r["line_id"]: r["line"].split() for r in lines.collect()}
+    count = lambda rows: np.array([sum(w == x for i in rows for w in words[i]) for x in "abcd"], float)
+    q = count(words) / count(words).sum()
+    for d in (2, 5):
+        for part in range(d):
+            p = count([i for i in words if i // (50 // d) == part])
+            p /= p.sum()
+            assert abs(got[d, part] - (p[p > 0] * np.log(p[p > 0] / q[p > 0])).sum()) < 1e-12
+    assert len(got) == 7
+
+
+def test_pairs_are_summed_in_their_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i % 3, [f"w{j}" for j in rng.integers(0, 9, rng.integers(0, 30))]) for i in range(200)]
+    s = spark.createDataFrame(rows, "part_id int, tokens array<string>")
+    v = spark.createDataFrame([(f"w{i}",) for i in range(6)], "word string")
+    g = D.skipgram_count(s, 3, v, ("part_id",))
+    assert "Generate" not in plan(g)  # a row for each pair
+    want, apart = Counter(), Counter()
+    for p, t in rows:
+        for i, a in enumerate(t):
+            for j, b in enumerate(t):
+                if 0 < abs(i - j) <= 3 and a < "w6" and b < "w6":
+                    want[p, a, b] += 1
+                if abs(i - j) == 2:
+                    apart[a, b] += 1
+    assert {(r["part_id"], r["word"], r["context"]): r["n"] for r in g.collect()} == want
+    assert {(r["a"], r["b"]): r["n"] for r in D.offset_counts(s, 2, 5).collect()} == {k: n for k, n in apart.items() if n >= 5}
+    assert D.skipgram_count(s, 3, v).agg(F.sum("n")).first()[0] == sum(want.values())
