@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts
+from .common import batches, text_slices, texts
 
 #: Boxes that hold only boxes (ISO/IEC 14496-12): fixed values.
 CONTAINERS = {b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"mvex", b"moof", b"traf", b"mfra", b"udta"}
@@ -351,11 +351,13 @@ def digest(text: str) -> tuple:
     return (n, size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, track["codec"], info["duration_s"], track["n_samples"], track["n_keyframes"], track["keyframes"])
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): the stored payload and the media's features."""
+def _rows(batch: pa.RecordBatch):
+    """OUT's columns of a batch (doc_id, text), some texts at a time: a batch has as many rows whatever their length."""
+    for first, end, _, _ in text_slices(batch.column(1)):
+        rows = zip(*map(digest, texts(batch.column(1).slice(first, end - first))), strict=True)
+        yield dict(zip(OUT.names, [batch.column(0).slice(first, end - first), *rows], strict=True))
 
-    def run(batch: pa.RecordBatch):
-        rows = list(zip(*map(digest, texts(batch.column(1))), strict=True)) or [[] for _ in OUT.names[1:]]
-        return dict(zip(OUT.names, [batch.column(0), *rows], strict=True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(run, OUT), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<time:long,offset:long,size:long>>")
+def text_media(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text): the stored payload and the media's features."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches(_rows, OUT), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, n_keyframes long, keyframes array<struct<time:long,offset:long,size:long>>")

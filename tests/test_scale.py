@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from lexiweave.llm import media
 from lexiweave.operators import distribution as D
 from lexiweave.operators import evaluate as E
 from lexiweave.operators import linalg as L
@@ -165,3 +166,11 @@ def test_pairs_are_summed_in_their_tasks(spark, monkeypatch):
     assert {(r["part_id"], r["word"], r["context"]): r["n"] for r in g.collect()} == want
     assert {(r["a"], r["b"]): r["n"] for r in D.offset_counts(s, 2, 5).collect()} == {k: n for k, n in apart.items() if n >= 5}
     assert D.skipgram_count(s, 3, v).agg(F.sum("n")).first()[0] == sum(want.values())
+
+
+def test_media_takes_some_texts_at_a_time():
+    batch = pa.record_batch({"doc_id": [1, None, 3, 4], "text": ["a" * 900_000, None, "b" * 900_000, "c"]})
+    got = list(media._rows(batch))
+    assert len(got) == 2 and [x for g in got for x in g["doc_id"].to_pylist()] == [1, None, 3, 4]
+    assert [x for g in got for x in g["n_bytes"]] == [900_000, 0, 900_000, 1]
+    assert list(media._rows(batch.slice(0, 0))) == []
